@@ -21,14 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Materialized, materialize, partitions_for
+from .common import Materialized, join_groups, materialize, partitions_for
 
 #: Bits of the filter for each row, and its largest size in bits: 32 MB are broadcast at most. Beyond
 #: that the filter only gets less selective, so that more (hash, id) rows shuffle; results stay the same.
 BITS_PER_ROW, MOST_BITS = 16, 1 << 28
 HASHES = 4
-#: Deals of a group's rows over tasks in the last join.
-SALTS = 16
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -108,15 +106,10 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     tested = materialize(hashed.df.mapInArrow(test, "doc_id long, text_sha256 string, h long, repeated boolean"), "tested")
     hashed.drop()
     alone = tested.df.where("not repeated").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", F.lit(False).alias("shuffled"))
-    # Equal (text, id) rows count together, so that one of them can be the one that stays.
-    maybe = tested.df.where("repeated").withColumn("salt", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(SALTS)))
-    groups = maybe.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    salts = F.when(F.col("group_size") > SALTS, F.transform(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: i.cast("long"))).otherwise(F.array(F.lit(-1).cast("long")))
-    dealt = groups.withColumn("salt", F.explode(salts))
-    big = maybe.join(dealt.where("salt >= 0"), ["text_sha256", "salt"])
-    small = maybe.join(dealt.where("salt < 0").drop("salt"), "text_sha256")
+    maybe = tested.df.where("repeated").drop("h", "repeated")
+    groups = materialize(maybe.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
     columns = ["doc_id", "keep_id", "group_size", "text_sha256"]
-    joined = big.select(columns).unionByName(small.select(columns))
+    joined = join_groups(maybe, groups.df, ["text_sha256"], "group_size", maybe.count()).select(columns)
     # A row equal to the one that stays in id and text is a copy of it: number them, which only touches kept ids.
     stays = joined.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy(columns).agg(F.count(F.lit(1)).alias("n"))
     stays = stays.select(*columns, F.explode(F.transform(F.sequence(F.lit(1), F.col("n").cast("int")), lambda i: i == 1)).alias("kept"))

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from . import common
 from .common import read_table, shared_dir
+from .embedding_dedup import near_embeddings
 from .exact_dedup import exact_duplicates
+from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .token_shards import read_token_shards, write_token_shards
 from .tokens import tokenizer_path
@@ -19,6 +21,10 @@ from .word_bpe import encode_decode
 BYTE_BPE, WORD_BPE, END_ID = "byte_bpe_50k.json", "word_bpe_49k.json", 2
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tessera-shards-{uuid.uuid4().hex}"
     write_token_shards(read_table(spark, sf_dir, "documents"), path, tokenizer_path(BYTE_BPE), END_ID)
@@ -27,6 +33,10 @@ def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_embeddings(read_table(spark, sf_dir, "embeddings"))
+
+
 def op5_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = encode_decode(read_table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE))
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -42,7 +52,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_shards, op5_word_bpe, op9_packing, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_token_shards, op3_embedding_dedup, op5_word_bpe, op9_packing, op10_exact_dedup)}
 
 
 _OP10 = """
