@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions_for
-from .tokens import chunks_dropping_space, encode_chunks, is_byte_level, load_tokenizer
+from .tokens import chunks_dropping_space, encode_chunks, is_byte_level, load_tokenizer, marked_stem
 
 #: Text in a block, unless one document alone has more.
 BLOCK_BYTES = 8 << 20
@@ -37,6 +37,15 @@ _ASKED = "bucket long, block long, words binary"
 _ANSWERED = "bucket long, block long, lengths binary, ids binary"
 
 
+def chunks_and_stems(texts: list[str]) -> tuple[set[str], set[str]]:
+    """The distinct chunks of texts, and the words to ask for: chunks without a mark at the end, and the marks."""
+    chunks: set[str] = set()
+    for text in texts:
+        chunks.update(chunks_dropping_space(text))
+    marked = {c for c in chunks if marked_stem(c)}
+    return marked, (chunks - marked) | {c[:-1] for c in marked} | {c[-1] for c in marked}
+
+
 def deal(words: set[str], buckets: int) -> dict[int, list[str]]:
     """The words of each bucket of the word table, in an order that asking and reading share."""
     dealt: dict[int, list[str]] = {}
@@ -74,9 +83,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, block_bytes: int = BLOCK_BYTE
     vocabulary = spark.sparkContext.broadcast(pieces_of(tok))
 
     def ask(key: tuple, texts: pa.Table) -> pa.Table:
-        words: set[str] = set()
-        for text in texts.column("text").to_pylist():
-            words.update(chunks_dropping_space(text))
+        _, words = chunks_and_stems(texts.column("text").to_pylist())
         pack, block = zstandard.ZstdCompressor(1).compress, key[0].as_py()
         dealt = deal(words, buckets)
         return pa.Table.from_pylist([{"bucket": k, "block": block, "words": pack(_SEP.join(v).encode())} for k, v in dealt.items()], schema=asked)
@@ -100,9 +107,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, block_bytes: int = BLOCK_BYTE
     def assemble(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor().decompress
         texts_of = texts.column("text").to_pylist()
-        words: set[str] = set()
-        for text in texts_of:
-            words.update(chunks_dropping_space(text))
+        marked, words = chunks_and_stems(texts_of)
         dealt = deal(words, buckets)
         pieces = np.array(vocabulary.value, object)
         ids_of: dict[str, bytes] = {}
@@ -117,6 +122,10 @@ def encode_decode(docs: DataFrame, tokenizer: str, block_bytes: int = BLOCK_BYTE
                 decoded_of[word] = " ".join(found[lo:hi])
         if dealt:
             raise RuntimeError(f"words of {len(dealt)} buckets have no ids")
+        for chunk in marked:
+            stem, mark = chunk[:-1], chunk[-1]
+            ids_of[chunk] = ids_of[stem] + ids_of[mark]
+            decoded_of[chunk] = f"{decoded_of[stem]} {decoded_of[mark]}"
         ids_out, decoded_out = [], []
         for text in texts_of:
             some = chunks_dropping_space(text)
