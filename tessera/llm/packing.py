@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import Encoder
+from .tokens import encoder
 
 #: Rests that wait together for a window, and how many of them wait on for the next pool.
 POOL, CARRY = 8192, 1024
@@ -133,7 +133,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, window: int = 4
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = Encoder(tokenizer), Packer(window)
+        encode_many, packer = encoder(tokenizer).encode_many, Packer(window)
         end, sequence = end_id.to_bytes(4, "little"), TaskContext.get().partitionId() << 40
         out: list[list] = [[] for _ in range(7)]
 
@@ -157,7 +157,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, window: int = 4
         for batch in batches:
             for lo in range(0, batch.num_rows, ENCODE_ROWS):
                 some = batch.slice(lo, ENCODE_ROWS)
-                for doc_id, ids in zip(some.column(0).to_pylist(), encoder.encode_many(some.column(1).to_pylist()), strict=True):
+                for doc_id, ids in zip(some.column(0).to_pylist(), encode_many(some.column(1).to_pylist()), strict=True):
                     doc = (doc_id, ids + end)
                     n = len(doc[1]) // 4
                     full = n - n % window

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import partitions_for
-from .tokens import Encoder, load_tokenizer
+from .tokens import encoder, load_tokenizer
 
 #: Ids in a shard, unless one document alone has more.
 SHARD_TOKENS = 1 << 20
@@ -106,7 +106,7 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int,
     id_bytes = 2 if max(load_tokenizer(tokenizer).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, bucket = Encoder(tokenizer, f"<u{id_bytes}"), TaskContext.get().partitionId()
+        encode_many, bucket = encoder(tokenizer, f"<u{id_bytes}").encode_many, TaskContext.get().partitionId()
         end = end_id.to_bytes(id_bytes, "little")
         shard = start = size = 0
         ids: list = []
@@ -114,7 +114,7 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int,
         for batch in batches:
             for lo in range(0, batch.num_rows, ENCODE_ROWS):
                 some = batch.slice(lo, ENCODE_ROWS)
-                for doc_id, part in zip(some.column(0).to_pylist(), encoder.encode_many(some.column(1).to_pylist()), strict=True):
+                for doc_id, part in zip(some.column(0).to_pylist(), encode_many(some.column(1).to_pylist()), strict=True):
                     n = len(part) // id_bytes + 1
                     if parts and size + n > shard_tokens:
                         yield _to_batch([_shard_row(bucket, shard, start, ids, parts, id_bytes)], _ARROW)

@@ -13,13 +13,17 @@ import os
 from collections.abc import Iterable
 
 import numpy as np
-import regex
 
 #: Chunks that one worker remembers. Others are encoded again in each batch that has them, which costs time, not rightness.
-MEMO_CHUNKS = 500_000
+MEMO_CHUNKS = 900_000
 
-#: White space beside a space: the library then splits the run as one.
-_WIDE_SPACE = regex.compile(r" [^\S ]|[^\S\n ] ").search
+#: Marks the first chunk of a text. In a text that holds the character itself, no chunk is cut.
+_FIRST = "\ue000"
+_MARKS = (",", ".")
+
+#: A space and further white space: the library splits the whole run together. The code points with Unicode's White_Space.
+_SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_RUNS = [" " + c for c in _SPACES]
 
 
 def tokenizer_path(name: str) -> str:
@@ -49,6 +53,11 @@ def chunks_dropping_space(text: str) -> list[str]:
     return [x for x in text.replace("\n", " ").split(" ") if x]
 
 
+def marked_stem(chunk: str) -> bool:
+    """Whether the chunk is a comma or full stop after a letter, which is then a piece of its own."""
+    return chunk[-1:] in _MARKS and chunk[-2:-1].isalpha() and len(chunk[-2].lower()) == 1
+
+
 def encode_chunks(tok, chunks: list[str], dtype: str) -> list[bytes]:
     return [np.array(e.ids, dtype).tobytes() for e in tok.encode_batch_fast(chunks, add_special_tokens=False)]
 
@@ -59,36 +68,75 @@ class Encoder:
     def __init__(self, path: str, dtype: str = "<u4", memo_chunks: int = MEMO_CHUNKS) -> None:
         self.tok = load_tokenizer(path)
         self.byte_level = is_byte_level(self.tok)
-        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.whole_for = _RUNS + [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.dtype, self.memo_chunks = dtype, memo_chunks
         self.memo: dict[str, bytes] = {}
+        self.marks = {c: self.whole(c) for c in _MARKS}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def cut(self, text: str) -> list[str] | None:
-        """The chunks of a text, or None where only the whole text can be encoded."""
+        """The chunks of a text, or None where only the whole text can be encoded.
+
+        Byte-level, a chunk stands for itself after one space, and the first one is marked.
+        """
         if not self.byte_level:
             return chunks_dropping_space(text)
-        if "  " in text or text.endswith(" ") or _WIDE_SPACE(text) or any(s in text for s in self.special):
+        if _FIRST in text or text.endswith(" ") or any(s in text for s in self.whole_for):
             return None
-        first, *rest = text.split(" ")
-        return ([first] if first else []) + [" " + x for x in rest]
+        chunks = text.split(" ")
+        chunks[0] = _FIRST + chunks[0]
+        return chunks
+
+    def _encode_new(self, fresh: set[str]) -> dict[str, bytes]:
+        """The ids of chunks that the memory lacks; those with a mark at the end share the work for their stem."""
+        memo, plain, marked = self.memo, set(), []
+        for c in fresh:
+            if marked_stem(c):
+                marked.append(c)
+                if c[:-1] not in memo:
+                    plain.add(c[:-1])
+            else:
+                plain.add(c)
+        space, listed = " " if self.byte_level else "", list(plain)
+        as_text = [c[1:] if c[:1] == _FIRST else space + c for c in listed]
+        out = dict(zip(listed, encode_chunks(self.tok, as_text, self.dtype), strict=True))
+        for c in marked:
+            stem = c[:-1]
+            out[c] = (memo[stem] if stem in memo else out[stem]) + self.marks[c[-1]]
+        return out
 
     def encode_many(self, texts: Iterable[str | None]) -> list[bytes]:
         """Ids of each text; a null text counts as empty."""
         texts = [t or "" for t in texts]
-        cuts = [self.cut(t) for t in texts]
-        fresh = list(set().union(*(c for c in cuts if c)).difference(self.memo))
-        if len(self.memo) >= self.memo_chunks and len(fresh) > sum(len(c) for c in cuts if c) // 2:
-            self.memo.clear()  # the texts have changed
-            return self.encode_many(texts)
-        stays = len(self.memo) + len(fresh) <= self.memo_chunks
+        get, parts, gaps, fresh, n = self.memo.get, [], [], set(), 0
+        for text in texts:
+            cut = self.cut(text)
+            ids = None if cut is None else list(map(get, cut))
+            parts.append(ids)
+            if ids and None in ids:
+                n += len(ids)
+                for at in [i for i, v in enumerate(ids) if v is None]:
+                    fresh.add(cut[at])
+                    gaps.append((ids, at, cut[at]))
         if fresh:
-            self.memo.update(zip(fresh, encode_chunks(self.tok, fresh, self.dtype), strict=True))
-        get = self.memo.__getitem__
-        out = [self.whole(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts, cuts, strict=True)]
-        if not stays and len(self.memo) > len(fresh):
-            for chunk in fresh:
-                del self.memo[chunk]
-        return out
+            new = self._encode_new(fresh)
+            for ids, at, chunk in gaps:
+                ids[at] = new[chunk]
+            if len(self.memo) + len(new) <= self.memo_chunks:
+                self.memo.update(new)
+            elif len(gaps) > n // 2:  # the texts have changed
+                self.memo.clear()
+        return [self.whole(t) if ids is None else b"".join(ids) for t, ids in zip(texts, parts, strict=True)]
+
+
+_ENCODER: dict[tuple, Encoder] = {}
+
+
+def encoder(path: str, dtype: str = "<u4") -> Encoder:
+    """This worker's encoder: it and what it remembers outlive a task; another file's is forgotten."""
+    if (path, dtype) not in _ENCODER:
+        _ENCODER.clear()
+        _ENCODER[path, dtype] = Encoder(path, dtype)
+    return _ENCODER[path, dtype]
