@@ -12,10 +12,12 @@ from . import common
 from .common import read_table, shared_dir
 from .embedding_dedup import near_embeddings
 from .exact_dedup import exact_duplicates
+from .line_dedup import dedup_lines
 from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .token_shards import read_token_shards, write_token_shards
 from .tokens import tokenizer_path
+from .toxicity import score_toxicity
 from .word_bpe import encode_decode
 
 BYTE_BPE, WORD_BPE, END_ID = "byte_bpe_50k.json", "word_bpe_49k.json", 2
@@ -37,11 +39,19 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_embeddings(read_table(spark, sf_dir, "embeddings"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(read_table(spark, sf_dir, "documents")).select("row.doc_id", "n_deleted", "row.text")
+
+
 def op5_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = encode_decode(read_table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE))
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE), END_ID)
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -52,7 +62,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_token_shards, op3_embedding_dedup, op5_word_bpe, op9_packing, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_token_shards, op3_embedding_dedup, op4_line_dedup, op5_word_bpe, op7_toxicity, op9_packing, op10_exact_dedup)}
 
 
 _OP10 = """
