@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterable
+from itertools import accumulate, chain
 
 import numpy as np
 
@@ -23,6 +24,8 @@ _MARKS = (",", ".")
 
 #: A space and further white space: the library splits the whole run together. The code points with Unicode's White_Space.
 _SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: What str.split takes for white space and the library doesn't.
+_NOT_SPACE = "\x1c\x1d\x1e\x1f"
 _RUNS = [" " + c for c in _SPACES]
 
 
@@ -50,7 +53,9 @@ def is_byte_level(tok) -> bool:
 
 def chunks_dropping_space(text: str) -> list[str]:
     """Cut where the word-level pre-tokenizer always cuts."""
-    return [x for x in text.replace("\n", " ").split(" ") if x]
+    if any(c in text for c in _NOT_SPACE):
+        return [x for x in text.replace("\n", " ").split(" ") if x]
+    return text.split()
 
 
 def marked_stem(chunk: str) -> bool:
@@ -59,7 +64,11 @@ def marked_stem(chunk: str) -> bool:
 
 
 def encode_chunks(tok, chunks: list[str], dtype: str) -> list[bytes]:
-    return [np.array(e.ids, dtype).tobytes() for e in tok.encode_batch_fast(chunks, add_special_tokens=False)]
+    ids = [e.ids for e in tok.encode_batch_fast(chunks, add_special_tokens=False)]
+    ends = list(accumulate(map(len, ids)))
+    width = np.dtype(dtype).itemsize
+    flat = np.fromiter(chain.from_iterable(ids), dtype, ends[-1] if ends else 0).tobytes()
+    return [flat[width * a : width * b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
 class Encoder:
