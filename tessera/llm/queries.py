@@ -12,9 +12,12 @@ from . import common
 from .common import read_table, shared_dir
 from .embedding_dedup import near_embeddings
 from .exact_dedup import exact_duplicates
+from .html_text import extract_pages
 from .line_dedup import dedup_lines
 from .near_dedup import near_duplicates
 from .packing import pack_documents
+from .quotations import ORACLE_SQL as _OP8
+from .quotations import chat_conversations
 from .token_shards import read_token_shards, write_token_shards
 from .tokens import tokenizer_path
 from .toxicity import score_toxicity
@@ -40,7 +43,7 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(read_table(spark, sf_dir, "documents")).select("row.doc_id", "n_deleted", "row.text")
+    return dedup_lines(read_table(spark, sf_dir, "documents")).select(F.col("row.doc_id").alias("doc_id"), "n_deleted", F.col("row.text").alias("text"))
 
 
 def op5_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,10 +51,18 @@ def op5_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(read_table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op8_chat_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_conversations(read_table(spark, sf_dir, "conversations"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE), END_ID)
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -62,7 +73,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_token_shards, op3_embedding_dedup, op4_line_dedup, op5_word_bpe, op7_toxicity, op9_packing, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_token_shards, op3_embedding_dedup, op4_line_dedup, op5_word_bpe, op6_html_text, op7_toxicity, op8_chat_quotations, op9_packing, op10_exact_dedup)}
 
 
 _OP10 = """
@@ -74,4 +85,4 @@ WINDOW same AS (PARTITION BY t)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": _OP10}
+    return {"op8_chat_quotations": _OP8, "op10_exact_dedup": _OP10}

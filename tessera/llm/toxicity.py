@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 #: Labelled documents to fit on, candidates for the lexicon, and entries of the lexicon, at most.
 FIT_DOCS, CANDIDATES, ENTRIES = 20_000, 50_000, 2_000
@@ -204,18 +205,19 @@ def fit(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = EXCEPT
     return model
 
 
-def score_texts(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs(doc_id, text)`` to doc_id, score."""
+def score_rows(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs(text, ...)`` to row (a struct of all columns of docs, whatever their names) and score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         matcher = model.matcher()
         for batch in batches:
-            found = [model.score(model.sums(matcher, fold(t.as_py()))) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.float64())], names=["doc_id", "score"])
+            found = [model.score(model.sums(matcher, fold(t.as_py()))) for t in batch.column("row").field("text")]
+            yield batch.append_column("score", pa.array(found, pa.float64()))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scores, "doc_id long, score double")
+    rows = docs.select(F.struct(*[F.col("text").cast("string") if c == "text" else F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.mapInArrow(scores, StructType([*rows.schema.fields, StructField("score", DoubleType())]))
 
 
 def held_out(column):
@@ -223,7 +225,11 @@ def held_out(column):
     return F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(4)) == 2
 
 
+def fit_held_in(docs: DataFrame, labels: DataFrame) -> Model:
+    return fit(docs, labels.where(~held_out(F.col("doc_id"))))
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Fit on the labels that are not held out, score all: doc_id, held_out, score, predicted."""
-    model = fit(docs, labels.where(~held_out(F.col("doc_id"))))
-    return score_texts(docs, model).select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    scored = score_rows(docs.select("doc_id", "text"), fit_held_in(docs, labels)).select(F.col("row.doc_id").alias("doc_id"), "score")
+    return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
