@@ -1,22 +1,54 @@
-"""Corpus pipeline: stages that each keep or rewrite documents, the last one packs them."""
+"""Corpus pipeline: toxic documents go, repeated runs of lines go, one of each group of near copies stays, the rest is packed.
+
+Each stage takes (spark, docs, sf_dir) and returns a frame, which is written as Parquet and read again as the next one's docs. All
+but the last return the columns of docs.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tessera.llm.common import materialize, read_table
+from tessera.llm.line_dedup import dedup_lines
+from tessera.llm.near_dedup import near_duplicates
 from tessera.llm.packing import pack_documents
 from tessera.llm.queries import END_ID, WORD_BPE
 from tessera.llm.tokens import tokenizer_path
+from tessera.llm.toxicity import THRESHOLD, fit_held_in, score_rows
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a score under the threshold."""
+    model = fit_held_in(docs, read_table(spark, sf_dir, "labels"))
+    return score_rows(docs, model).where(F.col("score") < THRESHOLD).select("row.*")
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without later copies of line runs; one that loses all its words goes, one that had none stays."""
+    rows = dedup_lines(docs).where((F.col("n_deleted") == 0) | F.col("row.text").rlike(r"\S")).select("row.*")
+    return rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else rows
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near copies."""
+    goes = near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
+    return docs.join(goes, "doc_id", "left_anti").select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences, with their ids."""
     return pack_documents(docs, tokenizer_path(WORD_BPE), END_ID)
 
 
-STAGES = [("packing", packing)]
+STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("packing", packing)]
+
+#: Tokenizing, scoring and near-duplicate search can't be said in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return packing(spark, docs, sf_dir)
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}").df
+    return STAGES[-1][1](spark, docs, sf_dir)
