@@ -216,7 +216,7 @@ def score_rows(docs: DataFrame, model: Model) -> DataFrame:
             found = [model.score(model.sums(matcher, fold(t.as_py()))) for t in batch.column("row").field("text")]
             yield batch.append_column("score", pa.array(found, pa.float64()))
 
-    rows = docs.select(F.struct(*[F.col("text").cast("string") if c == "text" else F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = docs.select(F.struct(*[F.col("text").cast("string").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     return rows.mapInArrow(scores, StructType([*rows.schema.fields, StructField("score", DoubleType())]))
 
 
