@@ -31,6 +31,8 @@ from .tokens import chunks_dropping_space, encode_chunks, is_byte_level, load_to
 BLOCK_BYTES = 8 << 20
 #: Words encoded together.
 ENCODE_WORDS = 20_000
+#: Of zstd, for words and answers on their way between tasks.
+_LEVEL = 6
 #: No word holds this: words are cut at line ends.
 _SEP = "\n"
 _ASKED = "bucket long, block long, words binary"
@@ -84,13 +86,13 @@ def encode_decode(docs: DataFrame, tokenizer: str, block_bytes: int = BLOCK_BYTE
 
     def ask(key: tuple, texts: pa.Table) -> pa.Table:
         _, words = chunks_and_stems(texts.column("text").to_pylist())
-        pack, block = zstandard.ZstdCompressor(1).compress, key[0].as_py()
+        pack, block = zstandard.ZstdCompressor(_LEVEL).compress, key[0].as_py()
         dealt = deal(words, buckets)
         return pa.Table.from_pylist([{"bucket": k, "block": block, "words": pack(_SEP.join(v).encode())} for k, v in dealt.items()], schema=asked)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, table, now = load_tokenizer(tokenizer), {}, None
-        unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(1).compress
+        unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(_LEVEL).compress
         for batch in batches:
             for row in batch.to_pylist():
                 if row["bucket"] != now:
@@ -101,8 +103,8 @@ def encode_decode(docs: DataFrame, tokenizer: str, block_bytes: int = BLOCK_BYTE
                     some = new[lo : lo + ENCODE_WORDS]
                     table.update(zip(some, encode_chunks(own, some, "<u2"), strict=True))
                 ids = [table[w] for w in words]
-                lengths = np.array([len(x) // 2 for x in ids], "<u4").tobytes()
-                yield pa.RecordBatch.from_pylist([{"bucket": now, "block": row["block"], "lengths": pack(lengths), "ids": pack(b"".join(ids))}], schema=answered)
+                lengths = [len(x) // 2 for x in ids]
+                yield pa.RecordBatch.from_pylist([{"bucket": now, "block": row["block"], "lengths": pack(np.array(lengths, "u1" if max(lengths) < 256 else "<u4").tobytes()), "ids": pack(b"".join(ids))}], schema=answered)
 
     def assemble(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -114,7 +116,8 @@ def encode_decode(docs: DataFrame, tokenizer: str, block_bytes: int = BLOCK_BYTE
         decoded_of: dict[str, str] = {}
         for row in answers.to_pylist():
             some = dealt.pop(row["bucket"])
-            ends = np.cumsum(np.frombuffer(unpack(row["lengths"]), "<u4")).tolist()
+            lengths = unpack(row["lengths"])
+            ends = np.cumsum(np.frombuffer(lengths, "u1" if len(lengths) == len(some) else "<u4"), dtype=np.int64).tolist()
             ids = np.frombuffer(unpack(row["ids"]), "<u2")
             raw, found = ids.astype("<u4").tobytes(), pieces[ids].tolist()
             for word, lo, hi in zip(some, [0, *ends], ends, strict=False):
