@@ -16,17 +16,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Materialized, join_groups, materialize, partitions_for
-
-#: Bits of the filter for each row, and its largest size in bits: 32 MB are broadcast at most. Beyond
-#: that the filter only gets less selective, so that more (hash, id) rows shuffle; results stay the same.
-BITS_PER_ROW, MOST_BITS = 16, 1 << 28
-HASHES = 4
+from .bloom import build_filter, may_hold
+from .common import Materialized, join_groups, materialize
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -36,55 +31,6 @@ def normalized(column):
     return F.translate(F.coalesce(column.cast("string"), F.lit("")), _UPPER, _LOWER)
 
 
-def positions(hashes: np.ndarray, segment_bits: int) -> np.ndarray:
-    """Bit positions of each hash within its segment, shape (rows, HASHES)."""
-    h = hashes.astype(np.uint64)
-    step = (h >> np.uint64(32)) | np.uint64(1)
-    at = (h[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(1, HASHES + 1, dtype=np.uint64) * step[:, None] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(20)
-    return (at % np.uint64(segment_bits)).astype(np.int64)
-
-
-def segment_of(hashes: np.ndarray, segments: int) -> np.ndarray:
-    return ((hashes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40)).astype(np.int64) % segments
-
-
-def repeated_filter(hashes: DataFrame, segments: int, segment_bits: int) -> np.ndarray:
-    """The filter's kept bits, shape (segments, segment_bits / 8), from a column of hashes."""
-
-    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values, n = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_counts=True)
-            segment = segment_of(values, segments)
-            yield pa.RecordBatch.from_arrays([pa.array(segment), pa.array(values), pa.array(np.minimum(n, 2))], names=["segment", "h", "n"])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters: dict[int, np.ndarray] = {}
-        for batch in batches:
-            segment, h, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            at = positions(h, segment_bits)
-            for s in np.unique(segment):
-                own = segment == s
-                counter = counters.setdefault(int(s), np.zeros(segment_bits, np.uint8))
-                for k in range(HASHES):
-                    counter[:] = np.minimum(2, counter + np.minimum(2, np.bincount(at[own, k], weights=n[own], minlength=segment_bits)).astype(np.uint8))
-        for s, counter in counters.items():
-            yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([np.packbits(counter > 1, bitorder="little").tobytes()], pa.binary())], names=["segment", "bits"])
-
-    thinned = hashes.mapInArrow(thin, "segment long, h long, n long")
-    found = thinned.repartition(min(segments, partitions_for(hashes.sparkSession)), "segment").mapInArrow(count, "segment long, bits binary").collect()
-    kept = np.zeros((segments, segment_bits // 8), np.uint8)
-    for row in found:
-        kept[row["segment"]] = np.frombuffer(row["bits"], np.uint8)
-    return kept
-
-
-def possibly_repeated(hashes: np.ndarray, kept: np.ndarray) -> np.ndarray:
-    """False only for hashes that occur once."""
-    segment = segment_of(hashes, len(kept))
-    at = positions(hashes, kept.shape[1] * 8)
-    return ((kept[segment[:, None], at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=1)
-
-
 def exact_duplicates(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, keep_id, group_size, kept, text_sha256, shuffled.
 
@@ -93,14 +39,11 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(normalized(F.col("text")), 256).alias("text_sha256"))
     hashed: Materialized = materialize(rows.withColumn("h", F.conv(F.substring("text_sha256", 1, 15), 16, 10).cast("long")), "hashes")
-    bits = min(MOST_BITS, max(1 << 13, BITS_PER_ROW * hashed.df.count()))
-    segments = min(bits >> 13, 4 * partitions_for(spark))
-    segment_bits = -(-bits // segments // 8) * 8
-    kept = spark.sparkContext.broadcast(repeated_filter(hashed.df.select("h"), segments, segment_bits))
+    kept = spark.sparkContext.broadcast(build_filter(hashed.df.select("h"), hashed.df.count(), least=2))
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = possibly_repeated(batch.column("h").to_numpy(zero_copy_only=False), kept.value)
+            found = may_hold(batch.column("h").to_numpy(zero_copy_only=False), kept.value)
             yield batch.append_column("repeated", pa.array(found))
 
     tested = materialize(hashed.df.mapInArrow(test, "doc_id long, text_sha256 string, h long, repeated boolean"), "tested")

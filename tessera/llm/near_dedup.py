@@ -8,9 +8,10 @@ of exactly their weighted Jaccard similarity. Only points before a time by which
 positions are filled are made, about m ln m in all, however long the text is.
 
 Signatures are banded. Candidates are verified by the overlap of their multisets. Texts that are
-equal in words are one class from the start, and in each bucket the members are first
-compared with the bucket's smallest document; pairs of a bucket are made only between
-documents that are then still in different groups. So a group of copies costs as many comparisons as it has members.
+equal in words are one class from the start. In each bucket the members are first
+compared with the bucket's smallest document. What is then not in the bucket's largest group is compared with a few other members, then
+with more and at last with all that are still in another group: pairs within a group are never made, so
+a group of copies costs a few comparisons a member, and no pair of a bucket that could join two groups is left out.
 
 Defined cases: texts of one to four words are one shingle; a null text, or one without words, is
 similar to nothing; a null ``doc_id`` takes part in nothing (component null, kept); rows that share an
@@ -29,6 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import build_filter, may_hold
 from .common import join_groups, materialize
 from .components import connected_components
 
@@ -36,6 +38,9 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: Bands and rows: a pair of similarity 0.8 is missed with a probability of 5e-5.
 BANDS, ROWS = 25, 5
 
+#: With which members of a bucket, by a hash of theirs, the others are compared in each round; the last round takes all.
+_SHARES = ((0, 4), (4, 16), (16, 64), (0, math.inf))
+
 _words = re.compile(r"\w+").findall
 _M1, _M2, _M3 = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
 
@@ -150,10 +155,17 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _SIGNED.types, strict=True)], schema=_SIGNED)
 
 
-def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("bag", pa.binary())])
-    for some in _texts(batches):
-        yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in some], pa.int64()), pa.array([multiset(shingles(t)[1]).tobytes() for _, t in some], pa.binary())], schema=schema)
+def _bags(wanted):
+    """Multisets of the documents that may be wanted; others are dropped before anything shuffles."""
+
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("doc_id", pa.int64()), ("bag", pa.binary())])
+        for batch in batches:
+            batch = batch.filter(pa.array(may_hold(batch.column("h").to_numpy(zero_copy_only=False), wanted.value)))
+            for some in _texts([batch.select(["doc_id", "text"])]):
+                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in some], pa.int64()), pa.array([multiset(shingles(t)[1]).tobytes() for _, t in some], pa.binary())], schema=schema)
+
+    return bags
 
 
 def _verify(least: float):
@@ -169,18 +181,33 @@ def _verify(least: float):
     return verify
 
 
-def _links(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose multisets are similar; only documents in a pair are read again as bags."""
+def _links(pairs: DataFrame, bags: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose multisets are similar."""
     named = materialize(pairs, "pairs")
-    wanted = named.df.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    bags = materialize(texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_bags, "doc_id long, bag binary"), "bags")
-    both = named.df.join(bags.df.select(F.col("doc_id").alias("a"), F.col("bag").alias("bag_a")), "a").join(bags.df.select(F.col("doc_id").alias("b"), F.col("bag").alias("bag_b")), "b")
+    both = named.df.join(bags.select(F.col("doc_id").alias("a"), F.col("bag").alias("bag_a")), "a").join(bags.select(F.col("doc_id").alias("b"), F.col("bag").alias("bag_b")), "b")
     links = materialize(both.select("a", "b", "bag_a", "bag_b").mapInArrow(_verify(least), "a long, b long"), "links")
     named.drop()
-    bags.drop()
     return links.df
 
 
+def _open_pairs(shared: DataFrame, component: DataFrame, total: int, low: float, high: float, least: float) -> DataFrame | None:
+    """Pairs to compare next: of members outside their bucket's largest group with members of other groups whose hash, as a
+    share of the bucket, lies in [low, high). None if no bucket holds two groups."""
+    named = component.withColumnRenamed("node", "rep")
+    grouped = materialize(shared.join(named, "rep", "left").select("bucket", "rep", "n", "size", "p", F.coalesce("component", "rep").alias("component")), "grouped")
+    largest = grouped.df.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "component")).alias("top"), F.count(F.lit(1)).alias("groups"), F.sum("c").alias("members"))
+    open_buckets = materialize(largest.where("groups > 1").select("bucket", F.col("top.component").alias("top"), "members"), "open")
+    if open_buckets.df.isEmpty():
+        return None
+    opened = materialize(join_groups(grouped.df, open_buckets.df, ["bucket"], "members", total), "opened")
+    grouped.drop()
+    share = F.col("p") * F.col("size")  # how many members of the bucket come before, about
+    a = opened.df.where("component <> top").select("bucket", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"))
+    b = opened.df.where((share >= low) & (share < high)).select("bucket", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
+    fits = (F.col("ca") != F.col("cb")) & (F.least("na", "nb") >= least * F.greatest("na", "nb"))
+    return a.join(b, "bucket").where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """``docs(doc_id, text)`` to one row a document: doc_id, component_id, kept.
 
@@ -192,23 +219,25 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     some = signed.df.where("n > 0")
     classes = materialize(some.groupBy("words").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size")), "classes")
     reps = some.join(classes.df.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    members = materialize(reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("bucket")).distinct(), "members")
+    members = materialize(reps.select(F.col("doc_id").alias("rep"), "n", F.explode("bands").alias("bucket")).groupBy("rep", "bucket").agg(F.max("n").alias("n")), "members")
     total = members.df.count()
     buckets = materialize(members.df.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
-    shared = materialize(join_groups(members.df, buckets.df, ["bucket"], "size", total), "shared")
+    place = (F.pmod(F.xxhash64(F.lit(5), "rep"), F.lit(1 << 40)) / (1 << 40)).alias("p")
+    shared = materialize(join_groups(members.df, buckets.df, ["bucket"], "size", total).select("*", place), "shared")
     members.drop()
-    # First each member with its bucket's leader; rows that share an id through different texts link as one document.
-    same_id = join_groups(some.select("doc_id", "words"), classes.df, ["words"], "size", total).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    first = _links(shared.df.where("leader <> rep").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), known, least)
-    found = materialize(connected_components(first), "found")
-    # Then, in buckets that hold several groups, the pairs between groups.
-    grouped = shared.df.join(found.df.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "leader", F.coalesce("component", "rep").alias("component"))
-    open_buckets = grouped.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    opened = materialize(grouped.join(open_buckets, "bucket", "left_semi"), "opened")
-    left, right = (opened.df.select("bucket", F.col("rep").alias(x), F.col("component").alias(f"c{x}"), F.col("leader").alias(f"l{x}")) for x in "ab")
-    across = left.join(right, "bucket").where("a < b AND ca <> cb AND a <> la").select("a", "b").distinct()
-    second = _links(across, known, least)
-    links = first.unionByName(second).unionByName(same_id)
+    wanted = materialize(shared.df.select(F.xxhash64("rep").alias("h")).distinct(), "wanted")
+    kept = docs.sparkSession.sparkContext.broadcast(build_filter(wanted.df, wanted.df.count(), least=1))
+    bags = known.withColumn("h", F.xxhash64("doc_id")).mapInArrow(_bags(kept), "doc_id long, bag binary")
+    bags = materialize(bags.groupBy("doc_id").agg(F.min("bag").alias("bag")), "bags").df
+    # Rows that share an id through different texts link as one document; then each member with its bucket's leader.
+    links = join_groups(some.select("doc_id", "words"), classes.df, ["words"], "size", total).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    leaders = shared.df.where((F.col("leader") != F.col("rep"))).select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
+    links = links.unionByName(_links(leaders, bags, least))
+    for low, high in _SHARES:
+        pairs = _open_pairs(shared.df, materialize(connected_components(links), "found").df, total, low, high, least)
+        if pairs is None:
+            break
+        links = links.unionByName(_links(pairs, bags, least))
     component = connected_components(links)
     out = rows.select("doc_id").join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", F.coalesce("component", "doc_id").alias("component_id"), (F.col("doc_id").isNull() | (F.coalesce("component", "doc_id") == F.col("doc_id"))).alias("kept"))
