@@ -1 +1 @@
-"""."""
+"""Operators from DataFrame to DataFrame; none of them collects rows."""
