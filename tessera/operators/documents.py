@@ -42,11 +42,11 @@ def semantic_text(spec: TableSpec) -> tuple[Column, Column]:
     return F.coalesce(text, F.to_json(sorted_struct(spec.fields), {"ignoreNullFields": "false"})), text.isNotNull()
 
 
-def build_documents(rows: DataFrame, spec: TableSpec, columns: Mapping[str, str] | None = None, extra: Mapping[str, str | int] | None = None, source_path: str | None = None, strict: bool = False) -> DataFrame:
+def build_documents(rows: DataFrame, spec: TableSpec, columns: Mapping[str, str] | None = None, extra: Mapping[str, str | int] | None = None, source_path: str | None = None, strict: bool = False, carry: Sequence[str] = ()) -> DataFrame:
     """Rows to doc_id, document, model_name, has_sem, metadata (a map of strings).
 
     Keyword fields that are not empty are metadata; ``extra`` (such as partition_name and schema_version) overrides them.
-    Invalid rows are left out, or fail the run if ``strict``.
+    Invalid rows are left out, or fail the run if ``strict``. ``carry`` names columns to keep, which are metadata too.
     """
     mapped = remap(rows, columns or {})
     if strict:
@@ -58,9 +58,10 @@ def build_documents(rows: DataFrame, spec: TableSpec, columns: Mapping[str, str]
         entries["source_path"] = F.lit(source_path)
     entries |= {k: F.nullif(F.col(f"`{k}`").cast("string"), F.lit("")) for k in spec.keyword_fields}
     entries |= {k: F.lit(str(v)) for k, v in (extra or {}).items()}
+    entries |= {k: F.col(f"`{k}`").cast("string") for k in carry}
     entries["has_sem"] = has_sem.cast("string")
     metadata = F.map_filter(F.map_from_arrays(F.array(*[F.lit(k) for k in entries]), F.array(*entries.values())), lambda _, v: v.isNotNull())
-    return valid.select(doc_id(spec.name, sorted_struct(spec.fields)).alias("doc_id"), text.alias("document"), F.lit(spec.name).alias("model_name"), has_sem.alias("has_sem"), metadata.alias("metadata"))
+    return valid.select(doc_id(spec.name, sorted_struct(spec.fields)).alias("doc_id"), text.alias("document"), F.lit(spec.name).alias("model_name"), has_sem.alias("has_sem"), metadata.alias("metadata"), *[F.col(f"`{c}`") for c in carry])
 
 
 def first_documents(documents: DataFrame) -> DataFrame:

@@ -1 +1 @@
-"""."""
+"""Incremental runs as streams."""
