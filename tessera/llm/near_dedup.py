@@ -8,10 +8,11 @@ of exactly their weighted Jaccard similarity. Only points before a time by which
 positions are filled are made, about m ln m in all, however long the text is.
 
 Signatures are banded. Candidates are verified by the overlap of their multisets. Texts that are
-equal in words are one class from the start. In each bucket the members are first
-compared with the bucket's smallest document. What is then not in the bucket's largest group is compared with a few other members, then
-with more and at last with all that are still in another group: pairs within a group are never made, so
-a group of copies costs a few comparisons a member, and no pair of a bucket that could join two groups is left out.
+equal in words are one class from the start. Buckets that share documents form families, which are only an upper bound for
+groups of near copies. A family meets in one task, or in blocks of ``BLOCK`` documents if it is larger, and there each document is
+compared with members of its buckets until it is known which groups it links: a pair of a bucket is left out only if both are
+already in one group. Across blocks the buckets' smallest documents are compared first; what is then not in
+a family's largest group is compared with every block. So copies cost a few comparisons each and never all pairs; no pair is a row.
 
 Defined cases: texts of one to four words are one shingle; a null text, or one without words, is
 similar to nothing; a null ``doc_id`` takes part in nothing (component null, kept); rows that share an
@@ -38,8 +39,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: Bands and rows: a pair of similarity 0.8 is missed with a probability of 5e-5.
 BANDS, ROWS = 25, 5
 
-#: With which members of a bucket, by a hash of theirs, the others are compared in each round; the last round takes all.
-_SHARES = ((0, 4), (4, 16), (16, 64), (0, math.inf))
+#: Documents of a family that meet in a task.
+BLOCK = 1024
 
 _words = re.compile(r"\w+").findall
 _M1, _M2, _M3 = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
@@ -190,22 +191,97 @@ def _links(pairs: DataFrame, bags: DataFrame, least: float) -> DataFrame:
     return links.df
 
 
-def _open_pairs(shared: DataFrame, component: DataFrame, total: int, low: float, high: float, least: float) -> DataFrame | None:
-    """Pairs to compare next: of members outside their bucket's largest group with members of other groups whose hash, as a
-    share of the bucket, lies in [low, high). None if no bucket holds two groups."""
-    named = component.withColumnRenamed("node", "rep")
-    grouped = materialize(shared.join(named, "rep", "left").select("bucket", "rep", "n", "size", "p", F.coalesce("component", "rep").alias("component")), "grouped")
-    largest = grouped.df.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "component")).alias("top"), F.count(F.lit(1)).alias("groups"), F.sum("c").alias("members"))
-    open_buckets = materialize(largest.where("groups > 1").select("bucket", F.col("top.component").alias("top"), "members"), "open")
-    if open_buckets.df.isEmpty():
-        return None
-    opened = materialize(join_groups(grouped.df, open_buckets.df, ["bucket"], "members", total), "opened")
-    grouped.drop()
-    share = F.col("p") * F.col("size")  # how many members of the bucket come before, about
-    a = opened.df.where("component <> top").select("bucket", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"))
-    b = opened.df.where((share >= low) & (share < high)).select("bucket", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
-    fits = (F.col("ca") != F.col("cb")) & (F.least("na", "nb") >= least * F.greatest("na", "nb"))
-    return a.join(b, "bucket").where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
+    """Rows of sorted batches, gathered by their first ``keys`` columns."""
+    key, held = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:keys] != key:
+                if held:
+                    yield held
+                key, held = row[:keys], []
+            held.append(row[keys:])
+    if held:
+        yield held
+
+
+class _Sets:
+    """Disjoint sets."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while self.up.setdefault(x, x) != x:
+            self.up[x] = x = self.up[self.up[x]]
+        return x
+
+    def join(self, a: int, b: int) -> None:
+        a, b = sorted((self.find(a), self.find(b)))
+        self.up[b] = a
+
+
+def _compare(left: list[tuple], right: list[tuple] | None, least: float) -> Iterator[tuple[int, int]]:
+    """Links that join groups, among ``left`` or between left and right: rows of (id, group, bands, bag)."""
+    sets, others = _Sets(), left if right is None else right
+    bands = np.array([r[2] for r in others], np.int64)
+    bags = [np.frombuffer(r[3], np.uint32) for r in others]
+    sizes = np.array([len(b) for b in bags])
+    for k, (doc, group, own, bag) in enumerate(left):
+        bag = np.frombuffer(bag, np.uint32)
+        upto = k if right is None else len(others)
+        shares = (bands[:upto] == np.array(own, np.int64)).any(axis=1)
+        fits = np.minimum(sizes[:upto], len(bag)) >= least * np.maximum(sizes[:upto], len(bag))
+        for j in np.flatnonzero(shares & fits).tolist():
+            if sets.find(group) != sets.find(others[j][1]) and similarity(bag, bags[j]) >= least:
+                sets.join(group, others[j][1])
+                yield doc, others[j][0]
+
+
+_EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in range(2)], schema=_EDGES)
+
+
+def _within(least: float):
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, 2):
+            if len(rows) > 1 and (found := list(_compare(rows, None, least))):
+                yield _edge_batch(found)
+
+    return within
+
+
+def _across(least: float):
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, 3):
+            asked, held = ([r[1:] for r in rows if r[0] == side] for side in (True, False))
+            if asked and held and (found := list(_compare(asked, held, least))):
+                yield _edge_batch(found)
+
+    return across
+
+
+def _between_blocks(full: DataFrame, leaders: DataFrame, within: DataFrame, least: float) -> DataFrame:
+    """Links between the blocks of families that have several. ``full`` holds only these families' documents."""
+    named = full.select("rep", "family")
+    pairs = leaders.join(named.select(F.col("rep").alias("b")), "b", "left_semi")
+    bags = full.select(F.col("rep").alias("doc_id"), "bag")
+    across = _links(pairs, bags, least)
+    component = materialize(connected_components(within.unionByName(across)).withColumnRenamed("node", "rep"), "found").df
+    grouped = materialize(full.join(component, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "grouped").df
+    largest = grouped.groupBy("family", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("family").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("size"))
+    largest = materialize(largest.select("family", F.col("top.component").alias("top"), "size", F.ceil((F.col("size") - F.col("top.c")) / BLOCK).cast("int").alias("chunks")), "largest").df
+    rows = join_groups(grouped, largest, ["family"], "size", grouped.count())
+    held = rows.where("chunks > 0").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("asked", F.lit(False))
+    asked = rows.where("component <> top").withColumn("chunk", F.pmod(F.xxhash64(F.lit(3), "rep"), F.col("chunks")).cast("int")).withColumn("asked", F.lit(True))
+    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    columns = ["family", "block", "chunk", "asked", "rep", "component", "bands", "bag"]
+    key = columns[:3]
+    met = held.select(columns).unionByName(asked.select(columns)).repartition(*key).sortWithinPartitions(*key, "asked", "rep")
+    return across.unionByName(materialize(met.mapInArrow(_across(least), "a long, b long"), "strays").df)
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -219,25 +295,31 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     some = signed.df.where("n > 0")
     classes = materialize(some.groupBy("words").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size")), "classes")
     reps = some.join(classes.df.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    members = materialize(reps.select(F.col("doc_id").alias("rep"), "n", F.explode("bands").alias("bucket")).groupBy("rep", "bucket").agg(F.max("n").alias("n")), "members")
+    # One row a class; an id that stands for classes of several texts has the signature of one of them.
+    reps = materialize(reps.groupBy(F.col("doc_id").alias("rep")).agg(F.min("bands").alias("bands")), "reps")
+    members = materialize(reps.df.select("rep", F.explode("bands").alias("bucket")).distinct(), "members")
     total = members.df.count()
     buckets = materialize(members.df.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
-    place = (F.pmod(F.xxhash64(F.lit(5), "rep"), F.lit(1 << 40)) / (1 << 40)).alias("p")
-    shared = materialize(join_groups(members.df, buckets.df, ["bucket"], "size", total).select("*", place), "shared")
+    shared = join_groups(members.df, buckets.df, ["bucket"], "size", total)
+    leaders = materialize(shared.where("leader <> rep").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "leaders")
     members.drop()
-    wanted = materialize(shared.df.select(F.xxhash64("rep").alias("h")).distinct(), "wanted")
-    kept = docs.sparkSession.sparkContext.broadcast(build_filter(wanted.df, wanted.df.count(), least=1))
+    buckets.drop()
+    family = materialize(connected_components(leaders.df, "families").select(F.col("node").alias("rep"), F.col("component").alias("family")), "family")
+    wanted = family.df.select(F.xxhash64("rep").alias("h"))
+    kept = docs.sparkSession.sparkContext.broadcast(build_filter(wanted, family.df.count(), least=1))
     bags = known.withColumn("h", F.xxhash64("doc_id")).mapInArrow(_bags(kept), "doc_id long, bag binary")
-    bags = materialize(bags.groupBy("doc_id").agg(F.min("bag").alias("bag")), "bags").df
-    # Rows that share an id through different texts link as one document; then each member with its bucket's leader.
-    links = join_groups(some.select("doc_id", "words"), classes.df, ["words"], "size", total).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    leaders = shared.df.where((F.col("leader") != F.col("rep"))).select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    links = links.unionByName(_links(leaders, bags, least))
-    for low, high in _SHARES:
-        pairs = _open_pairs(shared.df, materialize(connected_components(links), "found").df, total, low, high, least)
-        if pairs is None:
-            break
-        links = links.unionByName(_links(pairs, bags, least))
+    bags = bags.groupBy(F.col("doc_id").alias("rep")).agg(F.min("bag").alias("bag"))
+    sizes = materialize(family.df.groupBy("family").agg(F.count(F.lit(1)).alias("size")).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")), "sizes")
+    placed = join_groups(family.df, sizes.df, ["family"], "size", total).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    full = materialize(placed.join(reps.df, "rep").join(bags, "rep").select("family", "block", "rep", "bands", "bag", "blocks"), "full")
+    met = full.df.select("family", "block", "rep", F.col("rep").alias("component"), "bands", "bag").repartition("family", "block").sortWithinPartitions("family", "block", "rep")
+    links = materialize(met.mapInArrow(_within(least), "a long, b long"), "links").df
+    large = full.df.where("blocks > 1")
+    if not large.isEmpty():
+        links = links.unionByName(_between_blocks(large, leaders.df, links, least))
+    # Rows that share an id through different texts are one document.
+    same_id = join_groups(some.select("doc_id", "words"), classes.df, ["words"], "size", total).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    links = links.unionByName(same_id)
     component = connected_components(links)
     out = rows.select("doc_id").join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", F.coalesce("component", "doc_id").alias("component_id"), (F.col("doc_id").isNull() | (F.coalesce("component", "doc_id") == F.col("doc_id"))).alias("kept"))
