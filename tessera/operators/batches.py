@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 # Documents and tokens in a request, by default and at most.
 BATCH_SIZE, MOST_BATCH_SIZE = 128, 2048
@@ -69,7 +70,7 @@ def pack_batches(df: DataFrame, order: str, tokens: str = "tokens", by: str = "m
             frame["batch_id"] = pd.array(out, "Int64")
             yield frame[[*names, "lane", "batch_id"]]
 
-    schema = rows.schema.add("batch_id", "long")
+    schema = StructType([*rows.schema.fields, StructField("batch_id", LongType())])
     return rows.mapInPandas(pack, schema)
 
 

@@ -62,7 +62,8 @@ def header_of(spark: SparkSession, path: str, c: SourceConfig) -> list[str]:
     if not first:
         return []
     line = first[0][0].removeprefix("﻿")
-    return [x.strip() for x in next(csv.reader([line], delimiter=c.delimiter), [])]
+    cells = next(csv.reader([line], delimiter=c.delimiter), []) if len(c.delimiter) == 1 else line.split(c.delimiter)
+    return [x.strip() for x in cells]
 
 
 def _repaired(spark: SparkSession, paths: list[str], header: list[str], c: SourceConfig) -> DataFrame:
