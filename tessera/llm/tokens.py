@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterable
-from itertools import accumulate, chain
 
 import numpy as np
 
@@ -63,20 +62,57 @@ def marked_stem(chunk: str) -> bool:
     return chunk[-1:] in _MARKS and chunk[-2:-1].isalpha() and len(chunk[-2].lower()) == 1
 
 
-def encode_chunks(tok, chunks: list[str], dtype: str) -> list[bytes]:
-    ids = [e.ids for e in tok.encode_batch_fast(chunks, add_special_tokens=False)]
-    ends = list(accumulate(map(len, ids)))
-    width = np.dtype(dtype).itemsize
-    flat = np.fromiter(chain.from_iterable(ids), dtype, ends[-1] if ends else 0).tobytes()
-    return [flat[width * a : width * b] for a, b in zip([0, *ends], ends, strict=False)]
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable Latin-1 stands for itself, others follow U+0100 in order."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(0x100 + k) for k, b in enumerate(rest)}
+
+
+class ChunkEncoder:
+    """Chunks to the bytes of their ids. A word of Latin letters is one piece, which the library's model takes without its splitting."""
+
+    def __init__(self, path: str, dtype: str) -> None:
+        self.tok = load_tokenizer(path)
+        self.byte_level = is_byte_level(self.tok)
+        self.dtype, width = dtype, np.dtype(dtype).itemsize
+        self._ids = [k.to_bytes(width, "little") for k in range(self.tok.get_vocab_size())]
+        self._letters = _byte_letters()
+
+    def piece(self, chunk: str) -> str | None:
+        """The chunk as the model sees it if it is one piece for certain, else None. In Latin up to U+024F only U+0130 changes under NFC and lower-casing of single letters."""
+        word = chunk[1:] if self.byte_level and chunk[:1] == " " else chunk
+        if not word.isalpha():
+            return None
+        if not word.isascii():
+            if max(word) > "\u024f" or "\u0130" in word:
+                return None
+            word = (word if self.byte_level else word.lower()).encode().decode("latin-1").translate(self._letters)
+        elif not self.byte_level:
+            word = word.lower()
+        return self._letters[0x20] + word if word is not chunk and self.byte_level and chunk[:1] == " " else word
+
+    def encode(self, chunks: list[str]) -> list[bytes]:
+        ids, tokenize, piece = self._ids, self.tok.model.tokenize, self.piece
+        out: list[bytes | None] = []
+        rest = []
+        for k, chunk in enumerate(chunks):
+            if (p := piece(chunk)) is None:
+                rest.append(k)
+                out.append(None)
+            else:
+                out.append(b"".join([ids[t.id] for t in tokenize(p)]))
+        for k, e in zip(rest, self.tok.encode_batch_fast([chunks[k] for k in rest], add_special_tokens=False), strict=True):
+            out[k] = b"".join([ids[i] for i in e.ids])
+        return out
 
 
 class Encoder:
     """Text to the bytes of its ids, in ``dtype`` (a little-endian numpy type)."""
 
     def __init__(self, path: str, dtype: str = "<u4", memo_chunks: int = MEMO_CHUNKS) -> None:
-        self.tok = load_tokenizer(path)
-        self.byte_level = is_byte_level(self.tok)
+        self.chunks = ChunkEncoder(path, dtype)
+        self.tok, self.byte_level = self.chunks.tok, self.chunks.byte_level
         self.whole_for = _RUNS + [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.dtype, self.memo_chunks = dtype, memo_chunks
         self.memo: dict[str, bytes] = {}
@@ -110,7 +146,7 @@ class Encoder:
                 plain.add(c)
         space, listed = " " if self.byte_level else "", list(plain)
         as_text = [c[1:] if c[:1] == _FIRST else space + c for c in listed]
-        out = dict(zip(listed, encode_chunks(self.tok, as_text, self.dtype), strict=True))
+        out = dict(zip(listed, self.chunks.encode(as_text), strict=True))
         for c in marked:
             stem = c[:-1]
             out[c] = (memo[stem] if stem in memo else out[stem]) + self.marks[c[-1]]

@@ -25,12 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions_for
-from .tokens import chunks_dropping_space, encode_chunks, is_byte_level, load_tokenizer, marked_stem
+from .tokens import ChunkEncoder, chunks_dropping_space, is_byte_level, load_tokenizer, marked_stem
 
 #: Text in a block, unless one document alone has more.
 BLOCK_BYTES = 8 << 20
-#: Words encoded together.
-ENCODE_WORDS = 20_000
 #: Of zstd, for words and answers on their way between tasks.
 _LEVEL = 6
 #: No word holds this: words are cut at line ends.
@@ -91,7 +89,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, block_bytes: int = BLOCK_BYTE
         return pa.Table.from_pylist([{"bucket": k, "block": block, "words": pack(_SEP.join(v).encode())} for k, v in dealt.items()], schema=asked)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, table, now = load_tokenizer(tokenizer), {}, None
+        encoder, table, now = ChunkEncoder(tokenizer, "<u2"), {}, None
         unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(_LEVEL).compress
         for batch in batches:
             for row in batch.to_pylist():
@@ -99,9 +97,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, block_bytes: int = BLOCK_BYTE
                     now, table = row["bucket"], {}
                 words = unpack(row["words"]).decode().split(_SEP)
                 new = [w for w in words if w not in table]
-                for lo in range(0, len(new), ENCODE_WORDS):
-                    some = new[lo : lo + ENCODE_WORDS]
-                    table.update(zip(some, encode_chunks(own, some, "<u2"), strict=True))
+                table.update(zip(new, encoder.encode(new), strict=True))
                 ids = [table[w] for w in words]
                 lengths = [len(x) // 2 for x in ids]
                 yield pa.RecordBatch.from_pylist([{"bucket": now, "block": row["block"], "lengths": pack(np.array(lengths, "u1" if max(lengths) < 256 else "<u4").tobytes()), "ids": pack(b"".join(ids))}], schema=answered)
