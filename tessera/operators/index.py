@@ -93,6 +93,8 @@ def delete(spark: SparkSession, path: str, filters: Mapping[str, Any], apply: bo
             kept = index.where(one & ~hit).drop(*LAYOUT)
             if kept.isEmpty():
                 files.delete(spark, directory)
+                if not files.listing(spark, directory.rpartition("/")[0], directories=True):
+                    files.delete(spark, directory.rpartition("/")[0])
                 continue
             kept.write.mode("overwrite").parquet(f"{path}/_rewrite")
             files.delete(spark, directory)

@@ -58,7 +58,7 @@ def run(spark: SparkSession, configs: Mapping[str, SourceConfig], registry: Mapp
         columns = list(c.columns) or [x for x in rows.columns if x not in (FILE, ROW, "model_name", "_model", "_replaces")]
         frames.append(row_ops.dedupe_rows(rows, columns, [FILE, ROW], by=["model_name", "_model"], seen=None if seen is None else seen.where(F.col("model_name") == model).withColumn("_model", F.lit(order))))
     if stale:
-        carried = held.where(F.col("partition_name").isin(stale) & ~F.col("model_name").isin(changed))
+        carried = held.drop("_replaces").where(F.col("partition_name").isin(stale) & ~F.col("model_name").isin(changed))
         known = {m: k for k, m in enumerate(active(configs))}
         order = F.coalesce(*[F.when(F.col("model_name") == m, F.lit(k)) for m, k in known.items()], F.lit(len(known)))
         frames.append(carried.withColumn("_model", order).withColumn(FILE, F.lit(-1)).withColumn(ROW, F.xxhash64("row_digest")).withColumnRenamed("partition_name", "_replaces"))

@@ -56,7 +56,7 @@ def _json_files(spark: SparkSession, pattern: str) -> DataFrame:
     found = fs.globStatus(p)
     if not found:
         return spark.createDataFrame([], "path string, value string")
-    return spark.read.option("wholetext", True).text([s.getPath().toString() for s in found]).select(F.col("_metadata.file_path").alias("path"), "value")
+    return spark.read.text([s.getPath().toString() for s in found], wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
 def state_files(spark: SparkSession, out_dir: str) -> DataFrame:
