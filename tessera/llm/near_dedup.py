@@ -77,7 +77,7 @@ def _uniform(h: np.ndarray) -> np.ndarray:
 def _strip(signature: np.ndarray, keys: np.ndarray, weights: np.ndarray, low: int, width: int, until: float) -> None:
     """Add the points before ``until`` of the strip [low, low + width) of each key to the signature."""
     m = len(signature)
-    state, t = mix(keys ^ mix(np.full(1, low + 1, np.uint64))), np.zeros(len(keys))
+    state, t = mix(keys + mix(np.full(1, low, np.uint64) + _M3)), np.zeros(len(keys))
     first, step = 0, max(1, math.ceil(until * width + 2 * math.sqrt(until * width)))
     while len(state):
         step = min(step, max(1, 2_000_000 // len(state)))
