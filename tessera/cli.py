@@ -89,7 +89,7 @@ def parser() -> argparse.ArgumentParser:
     p = add("status")
     p.add_argument("--partition-out-dir", required=True)
     p.add_argument("--partition-dir")
-    p.add_argument("--partition-config-name", default="vectorize_config.json")
+    p.add_argument("--partition-config-name", default="index_config.json")
     p = add("generate-query-config")
     p.add_argument("--partition-out-dir", required=True)
     p.add_argument("--output", required=True)

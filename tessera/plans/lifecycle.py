@@ -176,7 +176,7 @@ def max_failing_row(errors: DataFrame) -> DataFrame:
     return errors.groupBy("partition", "model").agg(F.max("max_row").alias("max_row"))
 
 
-def partition_status(spark: SparkSession, out_dir: str, config_dir: str | None = None, config_name: str = "vectorize_config.json") -> DataFrame:
+def partition_status(spark: SparkSession, out_dir: str, config_dir: str | None = None, config_name: str = "index_config.json") -> DataFrame:
     """The status of the partition directories below ``out_dir``."""
     names = metadata.partition_directories(spark, out_dir)
     configured = []

@@ -87,7 +87,7 @@ def run(spark: SparkSession, configs: Mapping[str, SourceConfig], registry: Mapp
         fs.mkdirs(p.getParent())
         if not fs.rename(files._fs(spark, f"{staging}/partition_name={name}")[1], p):
             raise OSError(f"could not move {name} into place")
-        files.write_json(spark, f"{root}/{name}/vectorize_config.json", {m: {"path": f"{root}/{e['path']}", "columns": {}} for m, e in entry["models"].items()})
+        files.write_json(spark, f"{root}/{name}/index_config.json", {m: {"path": f"{root}/{e['path']}", "columns": {}} for m, e in entry["models"].items()})
     files.delete(spark, staging)
     manifest["partitions"] += entries.values()
     manifest["runs"].append({"id": run_id, "created_at": created, "partitions": list(entries)})

@@ -155,7 +155,7 @@ def test_status(spark, tmp_path):
         if states:
             write(tmp_path / name / f"{name}_resume_state.json", json.dumps(states))
         if configured:
-            write(tmp_path / name / "vectorize_config.json", json.dumps({m: {"path": "x"} for m in configured}))
+            write(tmp_path / name / "index_config.json", json.dumps({m: {"path": "x"} for m in configured}))
         for k, e in enumerate(errors):
             write(tmp_path / name / "errors" / f"2025{k}.json", json.dumps(e))
 
