@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from typing import Protocol
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from typing import Any, Protocol
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.text import blank_to_null, byte_length, byte_trim, doc_id, join_filled, sorted_struct, suggest_strategy, token_count
 from ..functions.truncate import Counter, count_words, truncate
@@ -29,6 +32,24 @@ def typed(df: DataFrame, spec: TableSpec) -> tuple[DataFrame, DataFrame]:
     return checked.where("NOT _bad").drop("_bad"), checked.where("_bad").drop("_bad")
 
 
+def checked(df: DataFrame, check: Callable[[dict[str, Any]], Mapping[str, Any] | None], schema: StructType) -> DataFrame:
+    """Rows as a Python validator makes them, for rules that a cast can't express. It returns the fields, or None or a ValueError or TypeError for an invalid row."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                try:
+                    found = check(row)
+                except (ValueError, TypeError):
+                    continue
+                if found is not None:
+                    out.append({name: found.get(name) for name in schema.fieldNames()})
+            yield pa.RecordBatch.from_pylist(out, schema=to_arrow_schema(schema))
+
+    return df.mapInArrow(rows, schema)
+
+
 def require_valid(df: DataFrame, spec: TableSpec) -> None:
     """Fail on the first invalid row."""
     found = typed(df, spec)[1].select(*[c for c in spec.fields if c in df.columns]).head(1)

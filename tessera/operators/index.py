@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator, Mapping, Sequence
 from typing import Any, Protocol
 
@@ -42,6 +43,27 @@ class HashingEmbedding:
         return out / np.where(norm > 0, norm, 1)
 
 
+class RateLimited(Exception):
+    """Raised by a remote embedding function that must wait."""
+
+
+class Retrying:
+    """A remote embedding function that is asked again when it is rate-limited: doubling waits of at most ``most_seconds``."""
+
+    def __init__(self, function: EmbeddingFunction, retries: int = 5, first_seconds: float = 1.0, most_seconds: float = 30.0) -> None:
+        self.function, self.retries, self.first, self.most = function, retries, first_seconds, most_seconds
+
+    def __call__(self, texts: Sequence[str]) -> np.ndarray:
+        for attempt in range(self.retries + 1):
+            try:
+                return self.function(texts)
+            except RateLimited:
+                if attempt == self.retries:
+                    raise
+                time.sleep(min(self.most, self.first * 2**attempt))
+        raise AssertionError
+
+
 def embed(documents: DataFrame, function: EmbeddingFunction, text: str = "document") -> DataFrame:
     """Add ``embedding``, computed in Arrow batches."""
 

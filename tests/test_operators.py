@@ -69,6 +69,36 @@ def test_typed_rows(spark):
     assert sorted(r.n for r in good.collect()) == [1, 3] and bad.count() == 3
 
 
+def test_checked_rows(spark):
+    from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+
+    def check(row):
+        if row["v"] == "none":
+            return None
+        return {"n": int(row["v"]), "v": row["v"].upper()}
+
+    df = spark.createDataFrame([("1",), ("x",), ("none",), (None,)], "v string")
+    schema = StructType([StructField("n", IntegerType()), StructField("v", StringType())])
+    assert [tuple(r) for r in documents.checked(df, check, schema).collect()] == [(1, "1")]
+
+
+def test_retries():
+    from tessera.operators.index import RateLimited, Retrying
+
+    calls = []
+
+    def limited(texts):
+        calls.append(texts)
+        if len(calls) < 3:
+            raise RateLimited
+        return np.zeros((len(texts), 2))
+
+    assert Retrying(limited, 5, 0.0)(["a"]).shape == (1, 2) and len(calls) == 3
+    calls.clear()
+    with pytest.raises(RateLimited):
+        Retrying(limited, 1, 0.0)(["a"])
+
+
 def test_compaction_and_tokens(spark):
     big = "word " * 20
     df = spark.createDataFrame([("a", "x", "M"), ("b", big, "M"), ("c", "NEW-PAGE RESET N12 a *****   b" + "é" * 40, "Table")], "doc_id string, document string, model_name string")
