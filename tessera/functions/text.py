@@ -102,7 +102,8 @@ def date_or_null(c: Column) -> Column:
 
 
 def int_or_null(c: Column) -> Column:
-    return F.expr("null") if c is None else F.when(c.cast("string").rlike(r"^\s*[+-]?\d+\s*$"), strip(c.cast("string")).try_cast("long"))
+    """A whole number from a number or a numeric string, null for anything else."""
+    return F.when(c.cast("string").rlike(r"^\s*[+-]?\d+\s*$"), strip(c.cast("string")).try_cast("long"))
 
 
 def partition_name(number: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import blank_to_null, partition_name, row_digest, strip
+from ..tables import materialize
 
 # Cells that count as missing, as they are written.
 MISSING = ("", "NA", "N/A")
@@ -73,13 +74,15 @@ def dedupe_rows(df: DataFrame, columns: Sequence[str], order: Sequence[str], by:
 def number_rows(df: DataFrame, order: Sequence[str], name: str = "_n") -> DataFrame:
     """Rows numbered from 0 by a total order, without bringing them into one task.
 
-    Rows are sorted by ranges, each range is numbered on its own, and the ranges' sizes, one row a partition, give each its start.
+    Rows are sorted by ranges and written once with their place in their range; the ranges' sizes, one row a partition, give each its start.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    inside = ranged.withColumn(name, F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1)
-    sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_size"))
+    place = F.monotonically_increasing_id()  # partition in the upper bits, place in the lower 33
+    ranged = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", place), "numbered").df
+    part = F.shiftright("_m", 33)
+    sizes = ranged.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_size"))
     starts = sizes.select("_p", F.coalesce(F.sum("_size").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    return inside.join(F.broadcast(starts), "_p").withColumn(name, F.col("_start") + F.col(name)).drop("_p", "_start")
+    joined = ranged.withColumn("_p", part).join(F.broadcast(starts), "_p")
+    return joined.withColumn(name, F.col("_start") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).drop("_p", "_start", "_m")
 
 
 def roll_over(df: DataFrame, size: int, order: Sequence[str], first: int = 1) -> DataFrame:
