@@ -2,78 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Tables that live until the session ends, as returned frames read them lazily.
-_KEPT: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as
-    in tests on one machine, a temporary folder is made and set as checkpoint folder.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if jvm_dir.isDefined():
-            found = jvm_dir.get()
-        else:
-            found = tempfile.mkdtemp(prefix="tessera-")
-            spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a table written by :func:`materialize`."""
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
-
-
-@atexit.register
-def _remove_kept() -> None:
-    for spark, path in _KEPT:
-        try:
-            remove(spark, path)
-        except Exception:  # the session is gone: whoever owns the shared folder clears it
-            return
+from ..tables import Materialized, keep, materialize, shared_dir
 
-
-def keep(spark: SparkSession, path: str) -> None:
-    """Delete ``path`` when the session ends."""
-    _KEPT.append((spark, path))
-
-
-class Materialized:
-    """A frame written to the shared folder: ``df`` reads it, ``drop`` deletes it."""
-
-    def __init__(self, spark: SparkSession, path: str, schema) -> None:
-        self.spark, self.path = spark, path
-        self.df = spark.read.schema(schema).parquet(path)
-
-    def drop(self) -> None:
-        remove(self.spark, self.path)
-        _KEPT[:] = [x for x in _KEPT if x[1] != self.path]
-
-
-def materialize(df: DataFrame, name: str) -> Materialized:
-    """Write a frame once as Parquet in the shared folder and read it back.
-
-    This cuts lineage as checkpoint() does, without computing the frame twice,
-    and survives the loss of any executor.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    keep(spark, path)
-    return Materialized(spark, path, df.schema)
+__all__ = ["Materialized", "join_groups", "keep", "materialize", "partitions_for", "read_table", "shared_dir"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
