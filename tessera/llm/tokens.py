@@ -15,7 +15,7 @@ from collections.abc import Iterable
 import numpy as np
 
 #: Chunks that one worker remembers. Others are encoded again in each batch that has them, which costs time, not rightness.
-MEMO_CHUNKS = 900_000
+MEMO_CHUNKS = 450_000
 
 #: Marks the first chunk of a text. In a text that holds the character itself, no chunk is cut.
 _FIRST = "\ue000"
