@@ -84,5 +84,22 @@ WINDOW same AS (PARTITION BY t)
 """
 
 
+_OP3 = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+), fit AS MATERIALIZED (
+  SELECT * FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(e) > 0
+    AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), pairs AS (
+  SELECT a.r, a.vec_id AS a, b.vec_id AS b FROM fit a JOIN fit b ON a.label = b.label AND a.r <> b.r AND len(a.e) = len(b.e)
+  WHERE CASE WHEN len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) END >= 0.98
+), reach AS (
+  SELECT DISTINCT vec_id AS a, vec_id AS b FROM v UNION SELECT reach.a, pairs.b FROM reach JOIN pairs ON reach.b = pairs.a
+), counts AS (SELECT r, count(*) AS n FROM pairs GROUP BY r), least AS (SELECT a, min(b) AS c FROM reach GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, c AS component_id, vec_id IS NOT DISTINCT FROM c AS kept
+FROM v LEFT JOIN counts USING (r) LEFT JOIN least ON vec_id = a
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat_quotations": _OP8, "op10_exact_dedup": _OP10}
+    return {"op3_embedding_dedup": _OP3, "op8_chat_quotations": _OP8, "op10_exact_dedup": _OP10}

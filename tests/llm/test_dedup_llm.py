@@ -3,12 +3,14 @@
 import hashlib
 import random
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessera.llm import near_dedup
+from tessera.llm import near_dedup, queries
 from tessera.llm.bloom import build_filter, may_hold
 from tessera.llm.components import connected_components
 from tessera.llm.embedding_dedup import Codebooks, near_embeddings, unit_vectors
@@ -109,6 +111,11 @@ def test_near_embeddings(spark):
         expected = (None, 0, None, True) if r.vec_id is None else (r.vec_id, links.get(r.vec_id, 0), sets.find(r.vec_id), sets.find(r.vec_id) == r.vec_id)
         assert tuple(r) == expected
     assert near_embeddings(df.limit(0)).count() == 0
+    con = duckdb.connect()
+    con.register("embeddings", pa.table({"vec_id": [r[0] for r in rows + odd if r[0] != 2000], "embedding": pa.array([r[1] for r in rows + odd if r[0] != 2000], pa.list_(pa.float64())), "label": [r[2] for r in rows + odd if r[0] != 2000]}))
+    sql = {tuple(r) for r in con.sql(queries.oracle_sql()["op3_embedding_dedup"]).fetchall()}
+    near = near_embeddings(df.where("vec_id IS NULL OR vec_id <> 2000")).collect()
+    assert {tuple(r) for r in near if r.vec_id != 2001 and r.component_id != 0} == {r for r in sql if r[0] != 2001 and r[2] != 0}
 
 
 def test_probes_lose_no_neighbour():

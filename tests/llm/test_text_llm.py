@@ -123,7 +123,7 @@ def test_nested_quotes_leave_the_text(spark):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_queries_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got, expected = queries.queries()[name](spark, SF).toPandas(), con.sql(queries.oracle_sql()[name]).df()
     assert as_rows(got) == as_rows(expected)
