@@ -22,11 +22,11 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         both = now.df.unionByName(now.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = materialize(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("n")), name)
         larger = join_groups(both.where("v > u"), least.df, ["u"], "n", 2 * total)
-        large = materialize(larger.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), name)
+        large = materialize(larger.select(F.col("v").alias("u"), F.col("m").alias("v")), name)
         least.drop()
         now.drop()
         least = materialize(large.df.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), name)
-        joined = join_groups(large.df, least.df, ["u"], "n", total)
+        joined = join_groups(large.df, least.df, ["u"], "n", 2 * total)
         moved = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = materialize(moved.unionByName(least.df.select("u", F.col("m").alias("v"))).distinct(), name)
         least.drop()

@@ -246,10 +246,15 @@ def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _within(least: float):
+    """Links of a block's groups to their smallest document."""
+
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _groups(batches, 2):
-            if len(rows) > 1 and (found := list(_compare(rows, None, least))):
-                yield _edge_batch(found)
+            sets = _Sets()
+            for a, b in _compare(rows, None, least):
+                sets.join(a, b)
+            if sets.up:
+                yield _edge_batch([(doc, sets.find(doc)) for doc in list(sets.up) if sets.find(doc) != doc])
 
     return within
 
@@ -318,8 +323,10 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     if not large.isEmpty():
         links = links.unionByName(_between_blocks(large, leaders.df, links, least))
     # Rows that share an id through different texts are one document.
-    same_id = join_groups(some.select("doc_id", "words"), classes.df, ["words"], "size", total).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    links = links.unionByName(same_id)
-    component = connected_components(links)
-    out = rows.select("doc_id").join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    placed = materialize(join_groups(some.select("doc_id", "words"), classes.df, ["words"], "size", total).select("doc_id", "rep").distinct(), "placed")
+    several = placed.df.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("doc_id", "a")
+    links = links.unionByName(placed.df.join(several, "doc_id").where("a <> rep").select("a", F.col("rep").alias("b")))
+    component = connected_components(links).withColumnRenamed("node", "rep")
+    named = placed.df.groupBy("doc_id").agg(F.min("rep").alias("rep")).join(component, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
+    out = rows.select("doc_id").join(named, "doc_id", "left")
     return out.select("doc_id", F.coalesce("component", "doc_id").alias("component_id"), (F.col("doc_id").isNull() | (F.coalesce("component", "doc_id") == F.col("doc_id"))).alias("kept"))
