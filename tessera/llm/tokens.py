@@ -21,11 +21,11 @@ MEMO_CHUNKS = 450_000
 _FIRST = "\ue000"
 _MARKS = (",", ".")
 
-#: A space and further white space: the library splits the whole run together. The code points with Unicode's White_Space.
+#: A space or line end and further white space: the library splits the whole run together. The code points with Unicode's White_Space.
 _SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: What str.split takes for white space and the library doesn't.
 _NOT_SPACE = "\x1c\x1d\x1e\x1f"
-_RUNS = [" " + c for c in _SPACES]
+_RUNS = [" " + c for c in _SPACES] + ["\n" + c for c in _SPACES if c != " "]
 
 
 def tokenizer_path(name: str) -> str:
@@ -115,7 +115,8 @@ class Encoder:
         self.tok, self.byte_level = self.chunks.tok, self.chunks.byte_level
         self.whole_for = _RUNS + [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.dtype, self.memo_chunks = dtype, memo_chunks
-        self.memo: dict[str, bytes] = {}
+        self.line_end = {"\n": self.whole("\n")}
+        self.memo: dict[str, bytes] = dict(self.line_end)
         self.marks = {c: self.whole(c) for c in _MARKS}
 
     def whole(self, text: str) -> bytes:
@@ -124,14 +125,19 @@ class Encoder:
     def cut(self, text: str) -> list[str] | None:
         """The chunks of a text, or None where only the whole text can be encoded.
 
-        Byte-level, a chunk stands for itself after one space, and the first one is marked.
+        Byte-level, a chunk stands for itself after one space, and the first one of a line is marked.
         """
         if not self.byte_level:
             return chunks_dropping_space(text)
         if _FIRST in text or text.endswith(" ") or any(s in text for s in self.whole_for):
             return None
-        chunks = text.split(" ")
-        chunks[0] = _FIRST + chunks[0]
+        chunks: list[str] = []
+        for line in text.split("\n"):
+            if chunks:
+                chunks.append("\n")
+            words = line.split(" ")
+            words[0] = _FIRST + words[0]
+            chunks += words
         return chunks
 
     def _encode_new(self, fresh: set[str]) -> dict[str, bytes]:
@@ -173,6 +179,7 @@ class Encoder:
                 self.memo.update(new)
             elif len(gaps) > n // 2:  # the texts have changed
                 self.memo.clear()
+                self.memo.update(self.line_end)
         return [self.whole(t) if ids is None else b"".join(ids) for t, ids in zip(texts, parts, strict=True)]
 
 
