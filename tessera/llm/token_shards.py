@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..tables import small_batches
 from .common import partitions_for
 from .tokens import encoder, load_tokenizer
 
@@ -128,7 +129,8 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int,
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.repartitionByRange(2 * partitions_for(spark), *order).sortWithinPartitions(*order)
-    rows.mapInArrow(shards, _SHARD).write.option("compression", "zstd").parquet(f"{path}/shards")
+    with small_batches(spark):
+        rows.mapInArrow(shards, _SHARD).write.option("compression", "zstd").parquet(f"{path}/shards")
     sizes = spark.read.schema(_SHARD).parquet(f"{path}/shards").groupBy("bucket").agg(F.sum("n_tokens").alias("n_tokens"))
     before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes.select("bucket", before.alias("bucket_start"), "n_tokens").write.parquet(f"{path}/manifest")
@@ -143,12 +145,13 @@ def read_token_shards(spark: SparkSession, path: str) -> DataFrame:
                 ends = EliasFano(row["low_bits"], row["low"], row["high"], row["samples"], row["n_docs"]).values()
                 starts = np.concatenate([[0], ends[:-1]])
                 ids = np.frombuffer(row["ids"], f"<u{row['id_bytes']}").astype("<u4")
+                bounds = pa.py_buffer(np.concatenate([[0], 4 * ends]).astype("<i8"))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(row["doc_ids"], pa.int64()),
                         pa.array(starts + row["start_in_bucket"] + row["bucket_start"], pa.int64()),
                         pa.array(ends - starts, pa.int64()),
-                        pa.array([ids[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary()),
+                        pa.Array.from_buffers(pa.large_binary(), len(ends), [None, bounds, pa.py_buffer(ids)]).cast(pa.binary()),
                     ],
                     names=["doc_id", "start", "n_tokens", "ids"],
                 )
