@@ -100,15 +100,54 @@ SELECT query_idx, rank, collection, doc_id, round(distance, 6) AS distance FROM
 ) WHERE rank <= 10""".format(_L2)
 
 
-@_query(_MERGE)
-def knn_multi_collection_merge(spark: SparkSession, sf: str) -> DataFrame:
-    v = _t(spark, sf, "embeddings")
+def _merged(v: DataFrame, asked: DataFrame) -> DataFrame:
     index = v.select(tf.partition_name((F.col("vec_id") % 4).cast("int")).alias("collection"), F.col("vec_id").cast("string").alias("doc_id"), "embedding")
     routing = search.Routing({"Table": {"collections": ["partition_00000", "partition_00002"]}, "Field": {"collections": ["partition_00002", "partition_00003"]}, "Domain": {"collections": ["partition_00001"]}}, {f"partition_0000{k}": [] for k in range(4)})
-    found = search.query(index, _queries(v, 5), 10, ["Table", "Field"], routing, include=["distance"])
+    found = search.query(index, asked, 10, ["Table", "Field"], routing, include=["distance"])
     return found.withColumn("distance", F.round("distance", 6))
 
 
+@_query(_MERGE)
+def knn_multi_collection_merge(spark: SparkSession, sf: str) -> DataFrame:
+    v = _t(spark, sf, "embeddings")
+    return _merged(v, _queries(v, 5))
+
+
+# The same searches for every 50th vector, so that the number of queries grows with the table. Those above keep the few queries that their SQL names.
+
+
+def _each_50th(vectors: DataFrame) -> DataFrame:
+    return vectors.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_idx"), F.col("embedding").alias("query"))
+
+
+def _sql_50th(name: str) -> str:
+    return ORACLES[name].replace("q.vec_id < 5", "q.vec_id % 50 = 0").replace("q.vec_id::INT", "q.vec_id")
+
+
+@_query(_sql_50th("knn_topk_l2"))
+def knn_topk_l2_50th(spark: SparkSession, sf: str) -> DataFrame:
+    v = _t(spark, sf, "embeddings")
+    return _knn(v, _each_50th(v), 10, "l2")
+
+
+@_query(_sql_50th("knn_filtered"))
+def knn_filtered_50th(spark: SparkSession, sf: str) -> DataFrame:
+    v = _t(spark, sf, "embeddings")
+    return _knn(v.where(where({"label": {"$in": [1, 2, 3]}})), _each_50th(v), 10, "l2")
+
+
+@_query(_sql_50th("knn_cosine"))
+def knn_cosine_50th(spark: SparkSession, sf: str) -> DataFrame:
+    v = _t(spark, sf, "embeddings")
+    return _knn(v, _each_50th(v), 10, "cosine")
+
+
+@_query(_sql_50th("knn_multi_collection_merge"))
+def knn_multi_collection_merge_50th(spark: SparkSession, sf: str) -> DataFrame:
+    v = _t(spark, sf, "embeddings")
+    return _merged(v, _each_50th(v))
+
+
 # Row hygiene
 
 
