@@ -12,6 +12,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,8 +20,8 @@ from pyspark.sql.window import Window
 from ..functions.predicates import metadata_column, where, where_document
 from ..functions.vectors import METRICS
 
-#: Query vectors that are sent to every task at most, and rows of one scan compared with them at a time.
-MOST_QUERIES, _ROWS = 100_000, 4096
+#: Query vectors that are sent to every task at most; rows of one scan and queries compared at a time.
+MOST_QUERIES, _ROWS, _ASKED = 100_000, 4096, 256
 #: Queries up to which expressions in generated code beat sending vectors to Python.
 FEW_QUERIES = 8
 INCLUDE_QUERY, INCLUDE_GET = ("metadata", "document", "distance"), ("metadata", "document")
@@ -72,7 +73,8 @@ def nearest(rows: DataFrame, queries: DataFrame, n: int = 10, metric: str = "l2"
     """``queries(query_idx, query)`` against ``rows``: query_idx, rank, distance and all columns of rows but the vector.
 
     The queries, a bounded number, go to every task. For a handful the distance is an expression; else each task compares
-    blocks of rows with all queries at once and only sends on the ``n`` nearest of each block and query.
+    blocks of rows with all queries at once and only sends on the ``n`` nearest of each block and query. Both order by distance,
+    then ``ties``, then ``id``.
     """
     if metric not in METRICS:
         raise ValueError(f"metric is one of {sorted(METRICS)}")
@@ -84,10 +86,11 @@ def nearest(rows: DataFrame, queries: DataFrame, n: int = 10, metric: str = "l2"
         both = rows.crossJoin(F.broadcast(queries.select("query_idx", "query")))
         found = both.withColumn("distance", METRICS[metric](F.col(vector), F.col("query"))).drop("query", vector)
         return _ranked(found.where("distance IS NOT NULL"), n, order)
-    return _ranked(_blockwise(rows, queries, n, metric, vector), n, order)
+    return _ranked(_blockwise(rows, queries, n, metric, vector, order[1:]), n, order)
 
 
-def _blockwise(rows: DataFrame, queries: DataFrame, n: int, metric: str, vector: str) -> DataFrame:
+def _blockwise(rows: DataFrame, queries: DataFrame, n: int, metric: str, vector: str, order: Sequence[str]) -> DataFrame:
+    """The first ``n`` of each block of rows and query by distance and then ``order``, so that equally near rows are not taken at random."""
     table = queries.select("query_idx", "query").toPandas()
     shared = rows.sparkSession.sparkContext.broadcast((table["query_idx"].to_numpy(), np.stack(table["query"].to_numpy()).astype(np.float64)))
     schema = rows.drop(vector).schema.add("query_idx", queries.schema["query_idx"].dataType).add("distance", "double")
@@ -100,31 +103,43 @@ def _blockwise(rows: DataFrame, queries: DataFrame, n: int, metric: str, vector:
             for lo in range(0, batch.num_rows, _ROWS):
                 some = batch.slice(lo, _ROWS)
                 x = np.stack(some.column(vector).to_numpy(zero_copy_only=False)).astype(np.float64)
-                x2, near = (x * x).sum(1), []
-                for k in range(0, len(q), 1024):
-                    products = q[k : k + 1024] @ x.T
+                x2, place = (x * x).sum(1), np.empty(len(x), np.int64)
+                # nulls first, as Spark sorts
+                place[pc.sort_indices(some.select(list(order)), sort_keys=[(c, "ascending") for c in order], null_placement="at_start").to_numpy()] = np.arange(len(x))
+                for k in range(0, len(q), _ASKED):
+                    i, j = _candidates(q[k : k + _ASKED], q2[k : k + _ASKED], x, x2, n, metric)
+                    i += k
                     if metric == "l2":
-                        d = q2[k : k + 1024, None] - 2 * products + x2[None, :]
-                    elif metric == "cosine":
-                        d = 1 - products / np.sqrt(q2[k : k + 1024, None] * x2[None, :])
+                        exact = [((q[i[a : a + 65536]] - x[j[a : a + 65536]]) ** 2).sum(1) for a in range(0, len(i), 65536)]
                     else:
-                        d = 1 - products
-                    # some more than n, as the exact distance decides
-                    most = min(len(x), n + 8)
-                    cols = np.argpartition(d, most - 1, axis=1)[:, :most] if most < len(x) else np.tile(np.arange(len(x)), (len(d), 1))
-                    near.append((np.repeat(np.arange(k, k + len(d)), cols.shape[1]), cols.ravel()))
-                i, j = (np.concatenate(c) for c in zip(*near, strict=True))
-                if metric == "l2":
-                    exact = np.concatenate([((q[i[a : a + 65536]] - x[j[a : a + 65536]]) ** 2).sum(1) for a in range(0, len(i), 65536)])
-                else:
-                    exact = np.concatenate([(q[i[a : a + 65536]] * x[j[a : a + 65536]]).sum(1) for a in range(0, len(i), 65536)])
-                    exact = 1 - exact / (np.sqrt(q2[i] * x2[j]) if metric == "cosine" else 1)
-                out = some.select(kept).take(pa.array(j))
-                yield out.append_column("query_idx", pa.array(ids[i])).append_column("distance", pa.array(exact))
+                        exact = [(q[i[a : a + 65536]] * x[j[a : a + 65536]]).sum(1) for a in range(0, len(i), 65536)]
+                    exact = np.concatenate(exact)
+                    if metric != "l2":
+                        exact = 1 - exact / (np.sqrt(q2[i] * x2[j]) if metric == "cosine" else 1)
+                    by = np.lexsort((place[j], exact, i))
+                    i, j, exact = i[by], j[by], exact[by]
+                    first = np.arange(len(i)) - np.searchsorted(i, i) < n
+                    out = some.select(kept).take(pa.array(j[first]))
+                    yield out.append_column("query_idx", pa.array(ids[i[first]])).append_column("distance", pa.array(exact[first]))
 
     return rows.where(F.col(vector).isNotNull()).mapInArrow(search, schema)
 
 
+def _candidates(q: np.ndarray, q2: np.ndarray, x: np.ndarray, x2: np.ndarray, n: int, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, row), by query, among them all rows that are not farther than the ``n``-th nearest by exact distance."""
+    if n >= len(x):
+        return np.repeat(np.arange(len(q)), len(x)), np.tile(np.arange(len(x)), len(q))
+    d, slack = q @ x.T, 4 * np.finfo(np.float64).eps * (q.shape[1] + 8)  # of a product of unit vectors
+    if metric == "l2":
+        d, slack = q2[:, None] - 2 * d + x2[None, :], slack * (q2[:, None] + x2[None, :])
+    elif metric == "cosine":
+        d = 1 - d / np.sqrt(q2[:, None] * x2[None, :])
+    else:
+        d, slack = 1 - d, slack * (1 + np.sqrt(q2[:, None] * x2[None, :]))
+    most = np.partition(d + slack, n - 1, axis=1)[:, n - 1 : n]
+    return np.nonzero(~(d - slack > most))  # what is not a number stays, to be sorted last
+
+
 def query(
     index: DataFrame,
     queries: DataFrame,

@@ -184,6 +184,19 @@ def test_query_is_the_merge_of_collections(spark, index_frame, n_queries, metric
     assert {r.collection for r in got} <= {"c1", "c2"}
 
 
+@pytest.mark.parametrize("n_queries", [2, 20])
+@pytest.mark.parametrize("metric", ["l2", "cosine", "ip"])
+def test_equally_near_rows_go_by_ties_and_id(spark, metric, n_queries):
+    rng = np.random.default_rng(5)
+    same, ids = rng.normal(size=8).tolist(), rng.permutation(400).tolist()
+    data = [("b" if k % 2 else "a", f"{k:03}", same if k < 300 else (-k * np.array(same)).tolist()) for k in ids]
+    rows = spark.createDataFrame(data, "c string, id string, embedding array<double>").coalesce(1)
+    queries = spark.createDataFrame([(k, same) for k in range(n_queries)], "query_idx int, query array<double>")
+    for ties, want in (([], [f"{k:03}" for k in range(5)]), (["c"], [f"{k:03}" for k in range(0, 10, 2)])):
+        got = search.nearest(rows, queries, 5, metric, id="id", ties=ties).orderBy("query_idx", "rank").collect()
+        assert [r.id for r in got] == want * n_queries
+
+
 def test_routing_does_not_filter_rows(spark, index_frame):
     assert search.count(index_frame, ["Table"], ROUTING).first().documents == 202
     assert search.routed(index_frame, ROUTING, ["Table"], strict_models=True).select("model_name").distinct().count() == 1
