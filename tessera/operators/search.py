@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 from ..functions.predicates import metadata_column, where, where_document
 from ..functions.vectors import METRICS
 
-#: Query vectors that are sent to every task at most; rows of one scan and queries compared at a time.
+#: Query vectors that are sent to every task at a time, about; rows of one scan and queries compared at a time.
 MOST_QUERIES, _ROWS, _ASKED = 100_000, 4096, 256
 #: Queries up to which expressions in generated code beat sending vectors to Python.
 FEW_QUERIES = 8
@@ -72,27 +72,33 @@ def _ranked(found: DataFrame, n: int, order: Sequence[Column | str]) -> DataFram
 def nearest(rows: DataFrame, queries: DataFrame, n: int = 10, metric: str = "l2", id: str = "doc_id", vector: str = "embedding", ties: Sequence[str] = ()) -> DataFrame:
     """``queries(query_idx, query)`` against ``rows``: query_idx, rank, distance and all columns of rows but the vector.
 
-    The queries, a bounded number, go to every task. For a handful the distance is an expression; else each task compares
-    blocks of rows with all queries at once and only sends on the ``n`` nearest of each block and query. Both order by distance,
-    then ``ties``, then ``id``.
+    The queries go to every task, about ``MOST_QUERIES`` at a time, and rows are read once for each such part; a query without
+    a vector finds nothing. For a handful the distance is an expression; else each task compares blocks of rows with all queries
+    of a part and only sends on the ``n`` nearest of each block and query. Both order by distance, then ``ties``, then ``id``.
     """
     if metric not in METRICS:
         raise ValueError(f"metric is one of {sorted(METRICS)}")
-    size = queries.limit(MOST_QUERIES + 1).count()
-    if size > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries: send them in parts")
+    queries = queries.where(F.col("query").isNotNull())
+    size = queries.count()
     order = ["distance", *ties, id]
     if size <= FEW_QUERIES:
         both = rows.crossJoin(F.broadcast(queries.select("query_idx", "query")))
         found = both.withColumn("distance", METRICS[metric](F.col(vector), F.col("query"))).drop("query", vector)
         return _ranked(found.where("distance IS NOT NULL"), n, order)
-    return _ranked(_blockwise(rows, queries, n, metric, vector, order[1:]), n, order)
+    parts = -(-size // MOST_QUERIES)
+    found = None
+    for part in range(parts):
+        own = queries if parts == 1 else queries.where(F.pmod(F.xxhash64("query_idx"), F.lit(parts)) == part)
+        one = _blockwise(rows, own, n, metric, vector, order[1:])
+        found = one if found is None else found.unionByName(one)
+    return _ranked(found, n, order)
 
 
 def _blockwise(rows: DataFrame, queries: DataFrame, n: int, metric: str, vector: str, order: Sequence[str]) -> DataFrame:
     """The first ``n`` of each block of rows and query by distance and then ``order``, so that equally near rows are not taken at random."""
     table = queries.select("query_idx", "query").toPandas()
-    shared = rows.sparkSession.sparkContext.broadcast((table["query_idx"].to_numpy(), np.stack(table["query"].to_numpy()).astype(np.float64)))
+    vectors = np.stack(table["query"].to_numpy()).astype(np.float64) if len(table) else np.empty((0, 0))
+    shared = rows.sparkSession.sparkContext.broadcast((table["query_idx"].to_numpy(), vectors))
     schema = rows.drop(vector).schema.add("query_idx", queries.schema["query_idx"].dataType).add("distance", "double")
     kept = [c for c in rows.columns if c != vector]
 

@@ -197,6 +197,17 @@ def test_equally_near_rows_go_by_ties_and_id(spark, metric, n_queries):
         assert [r.id for r in got] == want * n_queries
 
 
+def test_more_queries_than_are_sent_at_a_time(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.integers(-9, 9, (60, 4)).astype(float)
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, embedding array<double>")
+    asked = [(k, v.tolist()) for k, v in enumerate(x[:40])] + [(40, None)]
+    monkeypatch.setattr(search, "MOST_QUERIES", 12)
+    got = search.nearest(rows, spark.createDataFrame(asked, "query_idx long, query array<double>"), 3, id="id").orderBy("query_idx", "rank").collect()
+    want = [(k, int(j)) for k in range(40) for j in np.lexsort((np.arange(60), ((x - x[k]) ** 2).sum(1)))[:3]]
+    assert [(r.query_idx, r.id) for r in got] == want
+
+
 def test_routing_does_not_filter_rows(spark, index_frame):
     assert search.count(index_frame, ["Table"], ROUTING).first().documents == 202
     assert search.routed(index_frame, ROUTING, ["Table"], strict_models=True).select("model_name").distinct().count() == 1
