@@ -295,6 +295,12 @@ def where_range(spark: SparkSession, sf: str) -> DataFrame:
     return _labelled(spark, sf).where(where({"n_chars": {"$gte": 500, "$lt": 2000}, "doc_id": {"$gt": 10, "$lte": 800}})).select("doc_id")
 
 
+# The four operators on values only, so over the whole table.
+@_query(_LABELLED + "n_chars >= 500 AND n_chars < 20000 AND n_chars > 600 AND n_chars <= 2000")
+def where_range_values(spark: SparkSession, sf: str) -> DataFrame:
+    return _labelled(spark, sf).where(where({"$and": [{"n_chars": {"$gte": 500, "$lt": 20000}}, {"n_chars": {"$gt": 600, "$lte": 2000}}]})).select("doc_id")
+
+
 @_query(_LABELLED + "quality IS DISTINCT FROM 1")
 def where_ne_null(spark: SparkSession, sf: str) -> DataFrame:
     return _labelled(spark, sf).where(where({"quality": {"$ne": 1}})).select("doc_id")

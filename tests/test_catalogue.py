@@ -23,3 +23,9 @@ def test_searches_for_every_50th_vector(spark, name):
     want = by_sql(f"{name}_50th", "embeddings")
     assert [r[:-1] for r in rows] == [r[:-1] for r in want]
     assert [r[-1] for r in rows] == pytest.approx([r[-1] for r in want], abs=2e-6)
+
+
+def test_ranges_of_values_reach_the_whole_table(spark):
+    got = sorted(tuple(r) for r in catalogue.QUERIES["where_range_values"](spark, SF).collect())
+    assert got == by_sql("where_range_values", "documents", "labels")
+    assert min(got) <= (10,) and max(got) > (800,)
