@@ -113,6 +113,15 @@ def test_quotations(spark):
     assert all((chain[k].thread, chain[k].depth, chain[k].reply_to, chain[k].body) == (0, k, k - 1, f"m{k} words here") for k in range(1, 600))
 
 
+def test_long_conversations_can_be_rejoined(spark):
+    rows = [(1, k, "user", f"message number {k}") for k in range(300)] + [(1, 300, "user", "> message number 10\n\nyes")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    parts = {(r.thread_part, r.turn_part): r.text for r in chat_conversations(df).collect()}
+    assert "message number 10\n" in parts[0, 0] and "yes" in parts[0, 1]  # as the README says
+    whole = [(r.turn, r.reply_to) for r in linked_messages(df).orderBy("thread", "turn", "role", "body").collect()]
+    assert len(whole) == 301 and whole[10:13] == [(10, None), (300, 10), (11, None)]
+
+
 def test_nested_quotes_leave_the_text(spark):
     text = "Hi,\nBo wrote:\n> yes, I think so\n>> do you think so?\n\nFine > good"
     df = spark.createDataFrame([(1, 0, "user", "Do you think so?"), (1, 1, "user", "Yes, I think so."), (1, 2, "user", text)], "conv_id long, turn long, role string, text string")
