@@ -1,7 +1,8 @@
 """Delimited files whose rows may be broken.
 
-Clean files take Spark's own reader. Files for which a column is named as malformed need repair: a row with too many cells has
-the surplus joined into that column again, a row with too few takes in the physical rows that follow it. Taking in depends on what earlier rows
+Files for which a column is named as malformed need repair: a row with too many cells has the surplus joined into that column
+again, a row with too few takes in the physical rows that follow it. Each file is one ``binaryFile`` value, of 2 GB at most. ``read_clean``
+takes Spark's own reader, without row numbers and rejects. Taking in depends on what earlier rows
 took, so each file is one sequential task, streamed in batches; files are read in parallel.
 """
 
