@@ -160,11 +160,16 @@ def _bags(wanted):
     """Multisets of the documents that may be wanted; others are dropped before anything shuffles."""
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("bag", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("words", pa.binary()), ("bag", pa.binary())])
         for batch in batches:
             batch = batch.filter(pa.array(may_hold(batch.column("h").to_numpy(zero_copy_only=False), wanted.value)))
             for some in _texts([batch.select(["doc_id", "text"])]):
-                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in some], pa.int64()), pa.array([multiset(shingles(t)[1]).tobytes() for _, t in some], pa.binary())], schema=schema)
+                out: list[list] = [[], [], []]
+                for doc_id, text in some:
+                    words, h = shingles(text)
+                    for column, value in zip(out, (doc_id, xxhash.xxh3_128_digest(words), multiset(h).tobytes()), strict=True):
+                        column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, schema.types, strict=True)], schema=schema)
 
     return bags
 
@@ -298,10 +303,19 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     known = rows.where("doc_id IS NOT NULL")
     signed = materialize(known.mapInArrow(_sign, "doc_id long, words binary, n long, bands array<long>"), "signed")
     some = signed.df.where("n > 0")
-    classes = materialize(some.groupBy("words").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size")), "classes")
-    reps = some.join(classes.df.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    # One row a class; an id that stands for classes of several texts has the signature of one of them.
-    reps = materialize(reps.groupBy(F.col("doc_id").alias("rep")).agg(F.min("bands").alias("bands")), "reps")
+    classes = materialize(some.groupBy("words").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("size")), "classes").df
+    # A class goes by its smallest id, but where an id is the smallest of several, by a hash for all of them but one.
+    crowded = materialize(classes.groupBy("doc_id").agg(F.min("words").alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1").select("doc_id", "least"), "crowded").df
+    hashed = not crowded.isEmpty()
+    rep = F.col("doc_id")
+    if hashed:
+        classes = classes.join(crowded, "doc_id", "left")
+        rep = F.when(F.col("words") > F.col("least"), F.xxhash64("doc_id", "words")).otherwise(rep)
+    classes = classes.select("doc_id", "words", "size", rep.alias("rep"))
+    if hashed:
+        classes = materialize(classes, "named").df
+    reps = some.join(classes.select("doc_id", "words", "rep"), ["doc_id", "words"])
+    reps = materialize(reps.groupBy("doc_id", "words").agg(F.min("rep").alias("rep"), F.min("bands").alias("bands")), "reps")
     members = materialize(reps.df.select("rep", F.explode("bands").alias("bucket")).distinct(), "members")
     total = members.df.count()
     buckets = materialize(members.df.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
@@ -310,23 +324,28 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     members.drop()
     buckets.drop()
     family = materialize(connected_components(leaders.df, "families").select(F.col("node").alias("rep"), F.col("component").alias("family")), "family")
-    wanted = family.df.select(F.xxhash64("rep").alias("h"))
+    wanted = family.df.join(reps.df.select("rep", "doc_id"), "rep") if hashed else family.df.withColumnRenamed("rep", "doc_id")
+    wanted = wanted.select(F.xxhash64("doc_id").alias("h"))
     kept = docs.sparkSession.sparkContext.broadcast(build_filter(wanted, family.df.count(), least=1))
-    bags = known.withColumn("h", F.xxhash64("doc_id")).mapInArrow(_bags(kept), "doc_id long, bag binary")
-    bags = bags.groupBy(F.col("doc_id").alias("rep")).agg(F.min("bag").alias("bag"))
+    bags = known.withColumn("h", F.xxhash64("doc_id")).mapInArrow(_bags(kept), "doc_id long, words binary, bag binary")
+    bags = bags.groupBy("doc_id", "words").agg(F.min("bag").alias("bag"))
     sizes = materialize(family.df.groupBy("family").agg(F.count(F.lit(1)).alias("size")).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")), "sizes")
     placed = join_groups(family.df, sizes.df, ["family"], "size", total).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    full = materialize(placed.join(reps.df, "rep").join(bags, "rep").select("family", "block", "rep", "bands", "bag", "blocks"), "full")
+    full = materialize(placed.join(reps.df, "rep").join(bags, ["doc_id", "words"]).select("family", "block", "rep", "bands", "bag", "blocks"), "full")
     met = full.df.select("family", "block", "rep", F.col("rep").alias("component"), "bands", "bag").repartition("family", "block").sortWithinPartitions("family", "block", "rep")
     links = materialize(met.mapInArrow(_within(least), "a long, b long"), "links").df
     large = full.df.where("blocks > 1")
     if not large.isEmpty():
         links = links.unionByName(_between_blocks(large, leaders.df, links, least))
     # Rows that share an id through different texts are one document.
-    placed = materialize(join_groups(some.select("doc_id", "words"), classes.df, ["words"], "size", total).select("doc_id", "rep").distinct(), "placed")
+    placed = materialize(join_groups(some.select("doc_id", "words"), classes.drop("doc_id"), ["words"], "size", total).select("doc_id", "rep").distinct(), "placed")
     several = placed.df.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("doc_id", "a")
     links = links.unionByName(placed.df.join(several, "doc_id").where("a <> rep").select("a", F.col("rep").alias("b")))
     component = connected_components(links).withColumnRenamed("node", "rep")
     named = placed.df.groupBy("doc_id").agg(F.min("rep").alias("rep")).join(component, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
+    if hashed:  # a component goes by its smallest id
+        named = materialize(named, "components").df
+        least_ids = named.groupBy("component").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("size"))
+        named = join_groups(named, least_ids, ["component"], "size", named.count()).select("doc_id", F.col("first").alias("component"))
     out = rows.select("doc_id").join(named, "doc_id", "left")
     return out.select("doc_id", F.coalesce("component", "doc_id").alias("component_id"), (F.col("doc_id").isNull() | (F.coalesce("component", "doc_id") == F.col("doc_id"))).alias("kept"))

@@ -81,6 +81,23 @@ def test_near_duplicates(spark, monkeypatch, block):
     assert near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_each_text_of_an_id(spark):
+    rnd = random.Random(4)
+    words = lambda n: [f"w{rnd.randrange(5000)}" for _ in range(n)]
+    rows = []
+    for k in range(12):
+        a, b = words(120), words(120)
+        # 100 k + 5 has two texts, each with a near copy of another id; 50 k + 20,000 has one that a smaller id has too
+        rows += [(100 * k + 5, " ".join(a)), (100 * k + 5, " ".join(b)), (100 * k + 8, " ".join([*a, "more"])), (100 * k + 9, " ".join([*b, "more"]))]
+        c, d = words(120), words(120)
+        rows += [(50 * k + 20_000, " ".join(c)), (50 * k + 20_001, " ".join(c)), (50 * k + 20_001, " ".join(d)), (50 * k + 20_002, " ".join([*d, "more"]))]
+    out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        first = r.doc_id // 100 * 100 + 5 if r.doc_id < 20_000 else r.doc_id // 50 * 50
+        assert (r.component_id, r.kept) == (first, first == r.doc_id)
+
+
 def test_components(spark):
     rnd, sets = random.Random(1), Sets()
     edges = [(k, k + 1) for k in range(0, 60)] + [(rnd.randrange(100, 300), rnd.randrange(100, 300)) for _ in range(110)] + [(900, 900), (500, 501), (501, 500)] + [(400, 401 + k) for k in range(50)]
