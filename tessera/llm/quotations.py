@@ -4,16 +4,18 @@ Each line's quote level is its number of leading ``>`` marks. Adjoining lines of
 their single lines are normalised and hashed. Unquoted messages give the same hashes of their whole, their paragraphs and
 their lines, each with the first message that has it. Joining the two on (conversation, hash) tells which
 earlier message a message quotes: the one of its shallowest and then longest match is the message it replies to. Pointer
-doubling over these links finds each message's thread, the first message it leads to, and depth. A conversation is a
-thread's messages in reply order (a message comes after the one it answers, as it has a later turn) without quotes, in
-chat format. So that no task holds an unbounded conversation, threads are written in parts of ``PART`` turns.
+doubling over these links finds each message's thread, the first message it leads to, and depth. A conversation is its
+threads, one after the other, each with its messages in reply order (a message comes after the one it answers, as it has a later turn), without
+quotes, in chat format. So that no task holds an unbounded conversation, a row has ``PART`` messages at most: messages are
+numbered in that order by ranges, and a longer conversation is its parts, in their order, put together.
 
 Hashes are grouped before they are joined, so that a passage that everyone quotes is one row for
 each conversation, and a conversation with a third of all rows is many keys.
 
 Defined cases: a null text is an empty message; a null role is "unknown"; messages with a null conversation or turn
-quote nothing and are quoted by nothing, and form parts of their own; rows that share conversation and turn are messages of one
-turn; a quote without an original is removed all the same; an empty table gives no row; further columns are ignored.
+quote nothing and are quoted by nothing, and each is a row of its own; equal rows are one message that counts as often as
+it occurs, other rows that share conversation and turn are messages of one turn; a quote without an original is removed all the
+same; an empty table gives no row; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,9 +24,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.rows import number_rows
 from .common import join_groups, materialize
 
-#: Turns in one row, at most.
+#: Messages in one row, at most.
 PART = 256
 _MARKS = r"^\s*>[\s>]*"
 
@@ -65,7 +68,8 @@ def parsed(messages: DataFrame) -> DataFrame:
 
 def passages(messages: DataFrame) -> DataFrame:
     """Quoted passages and their lines: conv_id, turn, level, chars, key (hash)."""
-    lines = messages.where("lines IS NOT NULL AND conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", F.xxhash64("text", "role").alias("m"), F.posexplode("lines").alias("n", "line"))
+    quoting = messages.where("lines IS NOT NULL AND conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", "role", "text").distinct()
+    lines = quoting.select("conv_id", "turn", F.xxhash64("text", "role").alias("m"), F.posexplode(_lines(F.col("text"))).alias("n", "line"))
     lines = lines.select("conv_id", "turn", "m", "n", "line.level", "line.s")
     w = Window.partitionBy("conv_id", "turn", "m").orderBy("n")  # one message
     lines = lines.withColumn("passage", F.sum((F.col("level") != F.lag("level", 1, -1).over(w)).cast("int")).over(w)).where("level > 0")
@@ -127,19 +131,21 @@ def linked_messages(conversations: DataFrame) -> DataFrame:
 def chat_conversations(conversations: DataFrame) -> DataFrame:
     """Conversations in reply order, without quotes, in chat format.
 
-    One row for each conversation, or for each range of ``PART`` thread and turn numbers of a longer one: conv_id, thread_part, turn_part, n_messages
+    One row for each conversation, or for each ``PART`` messages of a longer one: conv_id, part, n_messages
     (copies included), n_replies, max_depth, text. In ``text`` a message follows its thread's first one, by turn.
     """
-    rows = linked_messages(conversations)
+    linked = materialize(linked_messages(conversations), "linked").df
     loose = F.col("conv_id").isNull() | F.col("turn").isNull()
-    part = lambda c: F.floor(F.col(c) / PART)
-    keyed = rows.withColumn("thread_part", part("thread")).withColumn("turn_part", part("turn")).withColumn("loose", F.when(loose, F.xxhash64("role", "body")))
-    message = F.struct("thread", "turn", "role", "body")
-    grouped = keyed.groupBy("conv_id", "thread_part", "turn_part", "loose").agg(
-        F.sum("copies").alias("n_messages"), F.sum(F.col("reply_to").isNotNull().cast("long")).alias("n_replies"), F.max("depth").alias("max_depth"), F.array_sort(F.collect_list(message)).alias("m")
+    numbered = number_rows(linked.where(~loose), ["conv_id", "thread", "turn", "role", "body", "copies"])
+    first = materialize(numbered.groupBy("conv_id").agg(F.min("_n").alias("first"), F.count(F.lit(1)).alias("size")), "first").df
+    parted = join_groups(numbered, first, ["conv_id"], "size", linked.count()).withColumn("part", F.floor((F.col("_n") - F.col("first")) / PART))
+    parted = parted.drop("size", "first", "_n").withColumn("own", F.lit(0).cast("long"))
+    alone = linked.where(loose).withColumn("part", F.lit(0).cast("long")).withColumn("own", F.monotonically_increasing_id())
+    grouped = parted.unionByName(alone).groupBy("conv_id", "part", "own").agg(
+        F.sum("copies").alias("n_messages"), F.sum(F.col("reply_to").isNotNull().cast("long")).alias("n_replies"), F.max("depth").alias("max_depth"), F.array_sort(F.collect_list(F.struct("thread", "turn", "role", "body"))).alias("m")
     )
     text = F.array_join(F.transform("m", lambda x: F.concat(F.lit("<|"), x["role"], F.lit("|>\n"), x["body"], F.lit("\n<|end|>\n"))), "")
-    return grouped.select("conv_id", "thread_part", "turn_part", "n_messages", "n_replies", "max_depth", text.alias("text"))
+    return grouped.select("conv_id", "part", "n_messages", "n_replies", "max_depth", text.alias("text"))
 
 
 #: The same rows in SQL for DuckDB, over a table ``conversations``.
@@ -179,9 +185,10 @@ WITH RECURSIVE m AS (
   SELECT d.*, coalesce(thread, turn) AS root, reply_to, coalesce(depth, 0) AS depth
   FROM (SELECT conv_id, turn, role, body, text, count(*) AS copies FROM mb GROUP BY ALL) d LEFT JOIN links USING (conv_id, turn)
 )
-SELECT conv_id, floor(root / 256)::BIGINT AS thread_part, floor(turn / 256)::BIGINT AS turn_part, sum(copies)::BIGINT AS n_messages,
-       count(reply_to) AS n_replies, max(depth)::BIGINT AS max_depth,
+SELECT conv_id, part, sum(copies)::BIGINT AS n_messages, count(reply_to) AS n_replies, max(depth)::BIGINT AS max_depth,
        string_agg('<|' || role || '|>' || chr(10) || body || chr(10) || '<|end|>' || chr(10), '' ORDER BY root, turn, role, body) AS text
-FROM done GROUP BY conv_id, thread_part, turn_part, CASE WHEN conv_id IS NULL OR turn IS NULL THEN role || chr(0) || body END
+FROM (
+  SELECT *, ((row_number() OVER (PARTITION BY conv_id ORDER BY root, turn, role, body, copies) - 1) // 256)::BIGINT AS part, 0 AS own FROM done WHERE conv_id IS NOT NULL AND turn IS NOT NULL
+  UNION ALL SELECT *, 0, row_number() OVER () FROM done WHERE conv_id IS NULL OR turn IS NULL
+) GROUP BY conv_id, part, own
 """
-ORACLE_SQL = ORACLE_SQL.replace("\\\\", "\\")

@@ -95,7 +95,8 @@ def chat():
                 own = "On a day, X wrote:\n" + "\n".join("> " + x for x in rnd.choice(messages).split("\n")) + "\n" + own
             messages.append(own)
             rows.append((c, t, rnd.choice(["user", "assistant"]), own))
-    return [*rows, (None, 1, "user", "> a\nb"), (3, None, "user", "q"), (3, None, None, None), rows[0], rows[0], (99, 0, "user", None), *[(77, k, "user", f"> m{k - 1} words here\nm{k} words here" if k else "m0 words here") for k in range(600)]]
+    repeated = [rows[k] for k in range(0, len(rows), 3)]
+    return [*rows, *repeated, (None, 1, "user", "> a\nb"), (3, None, "user", "q"), (3, None, None, None), rows[0], rows[0], (99, 0, "user", None), *[(77, k, "user", f"> m{k - 1} words here\nm{k} words here" if k else "m0 words here") for k in range(600)]]
 
 
 def as_rows(frame):
@@ -113,13 +114,31 @@ def test_quotations(spark):
     assert all((chain[k].thread, chain[k].depth, chain[k].reply_to, chain[k].body) == (0, k, k - 1, f"m{k} words here") for k in range(1, 600))
 
 
-def test_long_conversations_can_be_rejoined(spark):
-    rows = [(1, k, "user", f"message number {k}") for k in range(300)] + [(1, 300, "user", "> message number 10\n\nyes")]
+def test_a_repeated_message_quotes_what_it_quotes(spark):
+    rows = [(1, 0, "user", "alpha beta and more words"), (1, 1, "user", "alpha beta and more words\ngamma"), *[(1, 2, "user", "> alpha beta and more words\n> gamma\nyes")] * 3]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    parts = {(r.thread_part, r.turn_part): r.text for r in chat_conversations(df).collect()}
-    assert "message number 10\n" in parts[0, 0] and "yes" in parts[0, 1]  # as the README says
-    whole = [(r.turn, r.reply_to) for r in linked_messages(df).orderBy("thread", "turn", "role", "body").collect()]
-    assert len(whole) == 301 and whole[10:13] == [(10, None), (300, 10), (11, None)]
+    assert [(r.turn, r.reply_to, r.copies) for r in linked_messages(df).orderBy("turn").collect()] == [(0, None, 1), (1, None, 1), (2, 1, 3)]
+
+
+def test_long_conversations_are_cut_in_reply_order(spark):
+    rows = [(1, k, "user", f"message number {k}") for k in range(300)] + [(1, 300, "user", "> message number 10\n\nyes")]
+    rows += [(2, 0, "user", f"all in one turn {k}") for k in range(600)] + [(None, k % 2, "user", "z") for k in range(6)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    got = chat_conversations(df).collect()
+    parts = {(r.conv_id, r.part): r.text for r in got if r.conv_id}
+    assert sorted(parts) == [(1, 0), (1, 1), (2, 0), (2, 1), (2, 2)] and parts[1, 0].count("<|end|>") == parts[2, 1].count("<|end|>") == 256
+    assert "message number 10\n<|end|>\n<|user|>\nyes\n" in parts[1, 0] and "message number 11\n" not in parts[1, 0].split("yes")[0]
+    assert sorted((r.n_messages, r.text) for r in got if r.conv_id is None) == [(3, "<|user|>\nz\n<|end|>\n")] * 2
+    con = duckdb.connect()
+    con.register("conversations", pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"}))
+    assert as_rows(chat_conversations(df).toPandas()) == as_rows(con.sql(ORACLE_SQL).df())
+
+
+def test_a_very_long_message(spark):
+    quoted = "\n".join(f"> line {k} of a long message" for k in range(20_000))
+    rows = [(1, 0, "user", quoted.replace("> ", "")), (1, 1, "user", f"{quoted}\nthanks")]
+    r = linked_messages(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).where("turn = 1").first()
+    assert (r.reply_to, r.body) == (0, "thanks")
 
 
 def test_nested_quotes_leave_the_text(spark):
