@@ -14,8 +14,8 @@ counts and a spanning forest of the links it found, never all pairs.
 
 Defined cases: a vector that is null, empty or zero or has a null or non-finite component, and a vector with a
 null label, links with nothing; so do vectors of different lengths. A null ``vec_id``
-has component null and is kept; rows that share an id and a vector are separate rows of one class.
-An empty table gives no row; further columns are ignored.
+has component null and is kept; rows that share an id are one node of the components, and each has the links of its own
+vector; rows that share an id and a vector link with each other. An empty table gives no row; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -126,7 +126,7 @@ def forest(links: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[t
             todo[front] = False
 
 
-_CODED = pa.schema([("rep", pa.int64()), ("label", pa.string()), ("dim", pa.int32()), ("size", pa.int64()), ("embedding", pa.list_(pa.float64())), ("list", pa.int32()), ("codes", pa.binary()), ("error", pa.float64()), ("probes", pa.list_(pa.int32()))])
+_CODED = pa.schema([("cls", pa.int64()), ("label", pa.string()), ("dim", pa.int32()), ("size", pa.int64()), ("embedding", pa.list_(pa.float64())), ("list", pa.int32()), ("codes", pa.binary()), ("error", pa.float64()), ("probes", pa.list_(pa.int32()))])
 _FOUND = "a long, b long, n long"
 
 
@@ -143,12 +143,14 @@ def near_embeddings(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     # -0.0 and 0.0 are the same component
     rows = rows.withColumn("embedding", F.transform("embedding", lambda v: v + F.lit(0.0)))
     valid = materialize(rows.where("label IS NOT NULL"), "vectors")
-    classes = materialize(valid.df.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("size")), "classes")
+    # Classes are numbered where they are written, as several can have the same smallest id.
+    classes = valid.df.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("size"))
+    classes = materialize(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
     total = classes.df.count()
     dims = [r["dim"] for r in classes.df.select(F.size("embedding").alias("dim")).distinct().collect()]
     books: dict[int, Codebooks] = {}
     for dim in dims:
-        sample = classes.df.where(F.size("embedding") == dim).orderBy(F.xxhash64("rep", "label")).limit(FIT_ROWS).select("embedding").toPandas()
+        sample = classes.df.where(F.size("embedding") == dim).orderBy(F.xxhash64("rep", "label"), "embedding").limit(FIT_ROWS).select("embedding").toPandas()
         unit = unit_vectors(np.stack(sample["embedding"].to_numpy()))
         books[dim] = Codebooks.fit(unit, max(1, min(MOST_LISTS, int(math.sqrt(total) / 2), len(unit) // 8)))
     shared = spark.sparkContext.broadcast(books)
@@ -163,24 +165,24 @@ def near_embeddings(vectors: DataFrame, least: float = 0.98) -> DataFrame:
                     part = some.iloc[lo : lo + 4096]
                     unit = unit_vectors(np.stack(part["embedding"].to_numpy()))
                     own, codes, error = shared.value[d].encode(unit)
-                    columns = [part["rep"], part["label"], [d] * len(part), part["size"], list(unit), own, [c.tobytes() for c in codes], error, shared.value[d].probes(unit, own, distance)]
+                    columns = [part["cls"], part["label"], [d] * len(part), part["size"], list(unit), own, [c.tobytes() for c in codes], error, shared.value[d].probes(unit, own, distance)]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _CODED.types, strict=True)], schema=_CODED)
 
-    coded = materialize(classes.df.select("rep", "label", "size", "embedding").mapInArrow(code, "rep long, label string, dim int, size long, embedding array<double>, list int, codes binary, error double, probes array<int>"), "coded")
+    coded = materialize(classes.df.select("cls", "label", "size", "embedding").mapInArrow(code, "cls long, label string, dim int, size long, embedding array<double>, list int, codes binary, error double, probes array<int>"), "coded")
     # Blocks of each list's members and chunks of its queries, so that what meets in a task is bounded.
     cell = ["label", "dim", "list"]
     members = coded.df.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     asked = coded.df.select("label", "dim", F.explode("probes").alias("list")).groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
     cells = materialize(members.join(asked, cell).withColumn("size", (F.col("blocks") * BLOCK).cast("long")), "cells")
-    deal = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n)).cast("int")
+    deal = lambda n, salt: F.pmod(F.xxhash64("cls", F.lit(salt)), F.col(n)).cast("int")
     held = join_groups(coded.df.drop("probes").withColumnRenamed("size", "copies"), cells.df, cell, "size", total)
     held = held.withColumn("block", deal("blocks", 1)).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    asks = coded.df.select("rep", "label", "dim", F.col("size").alias("copies"), "embedding", F.col("list").alias("own"), F.explode("probes").alias("list"))
+    asks = coded.df.select("cls", "label", "dim", F.col("size").alias("copies"), "embedding", F.col("list").alias("own"), F.explode("probes").alias("list"))
     asks = join_groups(asks, cells.df, cell, "size", total).withColumn("own_block", F.when(F.col("own") == F.col("list"), deal("blocks", 1)).otherwise(-1))
     asks = asks.withColumn("chunk", deal("chunks", 2)).withColumn("block", F.explode(F.sequence(F.greatest("own_block", F.lit(0)), F.col("blocks") - 1)))
     key = [*cell, "block", "chunk"]
-    held = held.select(*key, "rep", "copies", "embedding", "codes", "error", F.lit(None).cast("int").alias("own_block"))
-    asks = asks.select(*key, "rep", "copies", "embedding", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("error"), "own_block")
+    held = held.select(*key, "cls", "copies", "embedding", "codes", "error", F.lit(None).cast("int").alias("own_block"))
+    asks = asks.select(*key, "cls", "copies", "embedding", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("error"), "own_block")
 
     def search(group: tuple, table: pa.Table) -> pa.Table:
         _, dim, in_list, block, _ = (k.as_py() for k in group)
@@ -190,14 +192,14 @@ def near_embeddings(vectors: DataFrame, least: float = 0.98) -> DataFrame:
         if len(db) and len(asking):
             book = shared.value[dim]
             x, codes = np.stack(db["embedding"].to_numpy()), np.stack([np.frombuffer(c, np.uint8) for c in db["codes"]])
-            rep, error, copies = (db[c].to_numpy() for c in ("rep", "error", "copies"))
+            cls, error, copies = (db[c].to_numpy() for c in ("cls", "error", "copies"))
             gained = np.zeros(len(db), np.int64)
             for lo in range(0, len(asking), 1024):
                 some = asking.iloc[lo : lo + 1024]
-                q, q_rep, q_copies = np.stack(some["embedding"].to_numpy()), some["rep"].to_numpy(), some["copies"].to_numpy()
+                q, q_cls, q_copies = np.stack(some["embedding"].to_numpy()), some["cls"].to_numpy(), some["copies"].to_numpy()
                 near = book.lookup(q, in_list, codes) + error[None, :] >= least - _SLACK
                 # Within a block each pair meets twice, and each vector meets itself.
-                near &= (some["own_block"].to_numpy() != block)[:, None] | (q_rep[:, None] < rep[None, :])
+                near &= (some["own_block"].to_numpy() != block)[:, None] | (q_cls[:, None] < cls[None, :])
                 i, j = np.nonzero(near)
                 exact = np.concatenate([np.einsum("ij,ij->i", q[i[k : k + 65536]], x[j[k : k + 65536]]) for k in range(0, len(i), 65536)]) if len(i) else np.zeros(0)
                 links = np.zeros(near.shape, bool)
@@ -205,17 +207,26 @@ def near_embeddings(vectors: DataFrame, least: float = 0.98) -> DataFrame:
                 if links.any():
                     gained += q_copies @ links
                     mine = links @ copies
-                    found += [(int(a), None, int(n)) for a, n in zip(q_rep, mine, strict=True) if n]
-                    found += [(a, b, 0) for a, b in forest(links, q_rep, rep)]
-            found += [(int(a), None, int(n)) for a, n in zip(rep, gained, strict=True) if n]
+                    found += [(int(a), None, int(n)) for a, n in zip(q_cls, mine, strict=True) if n]
+                    found += [(a, b, 0) for a, b in forest(links, q_cls, cls)]
+            found += [(int(a), None, int(n)) for a, n in zip(cls, gained, strict=True) if n]
         a, b, n = zip(*found, strict=True) if found else ((), (), ())
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], names=["a", "b", "n"])
 
     found = materialize(held.unionByName(asks).groupBy(*key).applyInArrow(search, _FOUND), "found")
-    component = connected_components(found.df.where("b IS NOT NULL").select("a", "b"))
-    counts = found.df.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
-    done = classes.df.join(counts, "rep", "left").join(component.withColumnRenamed("node", "rep"), "rep", "left")
-    done = materialize(done.select("label", "embedding", "size", (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "done")
-    linked = join_groups(valid.df, done.df, ["label", "embedding"], "size", total).select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
-    alone = rows.where("label IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    return linked.unionByName(alone)
+    # Rows that share an id through different vectors are one node.
+    placed = materialize(join_groups(valid.df, classes.df, ["label", "embedding"], "size", total).select("vec_id", "cls", "size"), "placed")
+    several = placed.df.groupBy("vec_id").agg(F.min("cls").alias("a"), F.max("cls").alias("z")).where("a <> z").select("vec_id", "a")
+    shared_ids = placed.df.join(several, "vec_id").where("a <> cls").select("a", F.col("cls").alias("b"))
+    component = connected_components(found.df.where("b IS NOT NULL").select("a", "b").unionByName(shared_ids)).withColumnRenamed("node", "cls")
+    counts = found.df.where("b IS NULL").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("n"))
+    done = classes.df.select("cls", "rep", "size").join(counts, "cls", "left").join(component, "cls", "left")
+    done = materialize(done.select("cls", "rep", "size", (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "cls").alias("component")), "done").df
+    least_ids = materialize(done.groupBy("component").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("members")), "least").df
+    named = materialize(join_groups(done, least_ids, ["component"], "members", total).select("cls", "size", "n_links", "component_id"), "named").df
+    linked = materialize(join_groups(placed.df.drop("size"), named, ["cls"], "size", total).select("vec_id", "n_links", "component_id"), "linked").df
+    for table in (valid, classes, coded, cells, found, placed):
+        table.drop()
+    alone = rows.where("label IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"))
+    alone = alone.join(linked.select("vec_id", "component_id").distinct(), "vec_id", "left").withColumn("component_id", F.coalesce("component_id", "vec_id"))
+    return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -135,6 +135,21 @@ def test_near_embeddings(spark):
     assert {tuple(r) for r in near if r.vec_id != 2001 and r.component_id != 0} == {r for r in sql if r[0] != 2001 and r[2] != 0}
 
 
+def test_near_embeddings_of_repeated_ids(spark):
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(8, 6))
+    rows = [(int(rng.integers(0, 40)), (base[rng.integers(8)] + rng.normal(size=6) * rng.choice([0, 0.05, 0.4])).tolist(), int(rng.integers(0, 2))) for _ in range(150)]
+    e = np.eye(6)
+    # The id 500 has two vectors, each with its own neighbours.
+    rows += [(500, e[0].tolist(), 5), (500, e[1].tolist(), 5), (501, e[0].tolist(), 5), (502, (e[1] + 0.01 * e[2]).tolist(), 5), (503, (e[1] - 0.01 * e[2]).tolist(), 5), (500, e[0].tolist(), 5), (502, None, 5), (503, e[1].tolist(), None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)
+    con = duckdb.connect()
+    con.register("embeddings", pa.table({"vec_id": [r[0] for r in rows], "embedding": pa.array([r[1] for r in rows], pa.list_(pa.float64())), "label": [r[2] for r in rows]}))
+    got = sorted(tuple(r) for r in near_embeddings(df).collect())
+    assert got == sorted(con.sql(queries.oracle_sql()["op3_embedding_dedup"]).fetchall())
+    assert sorted(r[1] for r in got if r[0] == 500) == [2, 2, 2] and sorted(r[1] for r in got if r[0] > 501) == [0, 0, 2, 2] and {r[2] for r in got if r[0] >= 500} == {500}
+
+
 def test_probes_lose_no_neighbour():
     rng = np.random.default_rng(6)
     x = unit_vectors(rng.normal(size=(2000, 16)))
