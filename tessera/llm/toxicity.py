@@ -53,6 +53,8 @@ EXCEPTIONS = ("trash can", "trash cans", "trash bin", "trash bag", "clown fish",
 
 _table = str.maketrans(_HOMOGLYPHS | dict.fromkeys(_INVISIBLE) | {chr(0xFF01 + k): chr(0x21 + k) for k in range(94)})
 _odd = re.compile("[" + "".join(_HOMOGLYPHS) + _INVISIBLE + "！-～]").search
+#: A dollar sign that begins a word; others are often marks between words.
+_leading = re.compile(r"(?<![^\W_$])\$(?=[^\W\d_])")
 _mixed = re.compile(r"[^\W_]*(?:[^\W\d_][@$!|]*[0-9]|[0-9][@$!|]*[^\W\d_]|[^\W\d_][@$!|]+[^\W\d_])[^\W_]*(?:[@$!|]+[^\W_]+)*")
 _stands_for = str.maketrans(_STANDS_FOR)
 _words = re.compile(r"[^\W_]+").findall
@@ -64,6 +66,7 @@ def fold(text: str | None) -> list[str]:
     if not t.isascii() and _odd(t):
         t = t.translate(_table).lower()
     if any(c in t for c in _STANDS_FOR):
+        t = _leading.sub("s", t)
         t = _mixed.sub(lambda m: m[0].translate(_stands_for), t)
     return _words(t.replace("l", "i"))
 

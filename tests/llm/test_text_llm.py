@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import queries
-from tessera.llm.html_text import extract_pages, main_text, unimportant_nodes
+from tessera.llm import html_text
+from tessera.llm.html_text import extract_pages, importance, main_text, unimportant_nodes
 from tessera.llm.quotations import ORACLE_SQL, chat_conversations, linked_messages
 from tessera.llm.toxicity import Model, fit, fold, held_out, score_rows, score_toxicity
 
@@ -44,8 +45,109 @@ def test_style_tree_removes_what_all_pages_have(spark):
     assert {r.host for r in unimportant_nodes(df.withColumn("host", F.regexp_extract("url", "//([^/]+)", 1))).collect()} == {"h.example"}
 
 
+def test_words_in_an_article_are_text():
+    assert main_text('<article><h2 id="side-effects">Side effects</h2><p>x</p></article>') == "Side effects\nx"
+    assert main_text('<article><h2 id="related-work">Related</h2><p id="notice">n</p><div class="side-notes">s</div><div class="comments">c</div></article>') == "Related\nn\ns"
+    assert main_text('<div class="with-sidebar"><div class="sidebar">s</div><main>m</main></div><div class="comments"><article>c</article></div>') == "m"
+    assert main_text('<div id="comments"><article class="comment">c</article></div><div>d</div>') == "d"
+    assert main_text('<header>Site</header><div>a<header>b</header></div>') == "a"
+
+
+def test_deep_and_long_pages():
+    deep = "<div>" * 20_000 + "<p>x</p>" + "</div>" * 20_000 + "<p>y</p>"
+    assert main_text(deep) == main_text(deep, {1}) == "x\ny" and len(html_text.style_features(deep)) < 5000
+    assert main_text("<p>" + "word " * 500_000).count("word") == 500_000
+
+
+def styled_pages():
+    """Pages of three hosts, with boxes that repeat more or less, as well-formed XML."""
+    rnd, rows = random.Random(6), []
+    for k in range(60):
+        box = f"<div class='box'><p>Sign here {k % (1, 3, 30)[k % 3]}</p><ul>{'<li>item</li>' * (1 + k % 2)}</ul></div>"
+        text = "".join(f"<p>Own words {k} {j}<b>x{rnd.randrange(3)}</b></p>" for j in range(rnd.randrange(1, 5)))
+        main = ("<div class='text'>{}</div>", "<article>{}<div class='by'>by us</div></article>")[k % 2].format(text)
+        rows.append((f"h{k % 3}", f"<html><body>{box}{main}<div id='f{k}'><i>end</i></div></body></html>"))
+    return rows
+
+
+def brute_importance(rows):
+    """Node importance by its definition, from XML trees."""
+    import math
+    import xml.etree.ElementTree as ET
+    from collections import Counter, defaultdict
+
+    nodes = defaultdict(lambda: (set(), Counter(), Counter()))
+
+    def style(e):
+        return e.tag + "".join(f".{c}" for c in sorted(e.get("class", "").split())) + (f"#{''.join(c for c in e.get('id') if not c.isdigit())}0" if e.get("id") else "")
+
+    def layout(e):
+        return (style(e), tuple(layout(c) for c in e))
+
+    def texts(e):
+        """Blocks: text of an element that makes its own block with what is inline in it."""
+        if e.tag in ("p", "li", "i"):
+            return ["".join(e.itertext())]
+        return ([e.text] if e.text else []) + [t for c in e for t in texts(c)]
+
+    for n, (host, page) in enumerate(rows):
+        seen = defaultdict(lambda: (set(), set()))
+
+        def walk(e, path, inside):
+            path = html_text._hash(f"{path} {style(e)}")
+            if e.tag not in ("html", "body", "article"):
+                # inline elements within a block hold no block of their own
+                seen[path][0].update(texts(e) if e.tag != "b" else [])
+                seen[path][1].add(layout(e))
+            for c in e:
+                walk(c, path, inside)
+
+        walk(ET.fromstring(page), 0, False)
+        for path, (blocks, layouts) in seen.items():
+            pages, b, s = nodes[host, path]
+            pages.add(n)
+            b.update(blocks)
+            s.update(layouts)
+    out = {}
+    for key, (pages, b, s) in nodes.items():
+        if len(pages) > 1 and b:
+            content = 1 - sum(c * math.log(c) for c in b.values()) / sum(b.values()) / math.log(len(pages))
+            total = sum(s.values())
+            out[key] = (len(pages), (content - sum(c / total * math.log(c / total) for c in s.values()) / math.log(total)) / 2)
+    return out
+
+
+def test_importance_against_brute_force(spark):
+    rows = styled_pages()
+    expected = brute_importance(rows)
+    df = spark.createDataFrame(rows, "host string, html string").repartition(3)
+    found = {(r.host, r.node): (r.pages, pytest.approx(r.importance, abs=1e-9)) for r in importance(df).collect()}
+    assert found == expected and len(found) > 20
+    low = {(r.host, r.node) for r in unimportant_nodes(df).collect()}
+    inside = {(r.host, r.node) for r in importance(df).where("inside").collect()}
+    assert low == {k for k, (n, x) in expected.items() if n >= 8 and x < (0.1 if k in inside else 0.4)} and low & inside
+
+
+def test_the_tree_removes_without_marks(spark):
+    """A page's menu, advert and footer go on a large host by importance alone."""
+    pages = spark.read.parquet(f"{SF.replace('0.001', '0.1')}/pages.parquet")
+    large = pages.where("regexp_extract(url, '://([^/]+)', 1) = 'blog.tionsh.example.com'")
+    tree = {r.page_id: r.text for r in extract_pages(large, marks=False).collect()}
+    assert len(tree) == 320 and tree == {r.page_id: r.text for r in extract_pages(large).collect()}
+    plain = {r.page_id: main_text(r.html, marks=False) for r in large.collect()}
+    assert all(tree[k] != plain[k] for k in tree)
+
+
+@pytest.mark.parametrize("hot", [1, 10_000])
+def test_pages_of_hot_and_other_hosts(spark, monkeypatch, hot):
+    monkeypatch.setattr(html_text, "HOT_HOSTS", hot)
+    page = lambda k: f"<body><div class='box'>Sign here</div><div class='text'><p>Own words {k}.</p></div></body>"
+    df = spark.createDataFrame([(k, f"http://h{k % 4}.example/{k}", page(k), "n") for k in range(80)], "page_id long, url string, html string, size string")
+    assert {r.page_id: r.text for r in extract_pages(df).collect()} == {k: f"Own words {k}." for k in range(80)}
+
+
 def test_fold():
-    assert fold("1d10t іdiоt c1own $tup1d l0ser!! id!ot 10.0.0.1 ＭＯＲＯＮ st​upid") == ["idiot", "idiot", "ciown", "stupid", "ioser", "idiot", "10", "0", "0", "1", "moron", "stupid"] or fold("$tup1d")
+    assert fold("1d10t іdiоt c1own $tup1d l0ser!! id!ot 10.0.0.1 ＭＯＲＯＮ st​upid") == ["idiot", "idiot", "ciown", "stupid", "ioser", "idiot", "10", "0", "0", "1", "moron", "stupid"]
     assert fold("1d10t") == fold("idiot") and fold("c1own") == fold("clown") and fold("сl0wn") == fold("clown")
     assert fold(None) == fold("") == []
 
