@@ -13,6 +13,7 @@ from .common import read_table, shared_dir
 from .embedding_dedup import near_embeddings
 from .exact_dedup import exact_duplicates
 from .html_text import extract_pages
+from .line_dedup import ORACLE_SQL as _OP4
 from .line_dedup import dedup_lines
 from .near_dedup import near_duplicates
 from .packing import pack_documents
@@ -102,4 +103,4 @@ FROM v LEFT JOIN counts USING (r) LEFT JOIN least ON vec_id = a
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_embedding_dedup": _OP3, "op8_chat_quotations": _OP8, "op10_exact_dedup": _OP10}
+    return {"op3_embedding_dedup": _OP3, "op4_line_dedup": _OP4, "op8_chat_quotations": _OP8, "op10_exact_dedup": _OP10}

@@ -15,7 +15,7 @@ from tessera.llm.bloom import build_filter, may_hold
 from tessera.llm.components import connected_components
 from tessera.llm.embedding_dedup import Codebooks, near_embeddings, unit_vectors
 from tessera.llm.exact_dedup import exact_duplicates
-from tessera.llm.line_dedup import dedup_lines, later_copies, shortest_runs
+from tessera.llm.line_dedup import _LINES, _sequence, dedup_lines, later_copies, shortest_runs, suffix_array
 from tessera.llm.near_dedup import bag_minhash, multiset, near_duplicates, shingles, similarity
 
 
@@ -196,6 +196,57 @@ def test_line_dedup(spark, least):
     assert {(r.row, r.h) for r in out} == {("u", 3)}
 
 
+def repeated_lines(spark, texts):
+    df = spark.createDataFrame([(d, 0, t) for d, t in enumerate(texts)], "d long, h long, text string").repartition(4)
+    lines = df.mapInArrow(_sequence(1), _LINES)
+    return lines.join(lines.groupBy("id").count().where("count > 1").drop("count"), "id").repartition(5).cache()
+
+
+@pytest.mark.parametrize("depth", [None, 5, 8])
+def test_suffix_array(spark, depth):
+    rnd = random.Random(3)
+    stretch = [f"s {k}" for k in range(40)]
+    texts = ["\n".join(rnd.choice(["a", "b", "c", f"only {d} {k}"]) for k in range(rnd.randrange(12))) for d in range(40)] + ["\n".join(stretch[a:]) for a in (0, 0, 7, 20)] + ["x\n" * 25, "x\n" * 9]
+    lines = repeated_lines(spark, texts)
+    rows = {(r.d, r.pos): bytes(r.id) for r in lines.collect()}
+    suffixes = {}
+    for d, pos in rows:
+        ids, p = [], pos
+        while (d, p) in rows and (depth is None or len(ids) < 8):  # rounds of 1, 2, 4 and 8 lines
+            ids.append(rows[d, p])
+            p += 1
+        suffixes[d, pos] = [(1, i) for i in ids] + ([] if (d, p) in rows or (depth and len(ids) == 8) else [(0, d, p)])  # the stretch ends with its own mark
+
+    def common(x, y):
+        n = 0
+        while n < min(len(x), len(y)) and x[n] == y[n]:
+            n += 1
+        return n
+
+    ordered = sorted(suffixes, key=lambda s: suffixes[s])
+    place = {}
+    for k, s in enumerate(ordered):
+        place[s] = place[ordered[k - 1]] if k and suffixes[s] == suffixes[ordered[k - 1]] else k
+    ranks, bounds = suffix_array(lines, depth)
+    got = {(r.d, r.pos): r.r for r in ranks.collect()}
+    assert got == place and (depth or sorted(got.values()) == list(range(len(got))))
+    assert {r.r: r.lcp for r in bounds.collect()} == {k: common(suffixes[ordered[k - 1]], suffixes[s]) if k else 0 for k, s in enumerate(ordered) if place[s] == k}
+    assert bounds.count() == len(set(place.values()))
+
+
+def test_line_dedup_against_sql(spark):
+    rnd = random.Random(12)
+    pool = [f"p{k} " * rnd.randrange(1, 60) for k in range(60)]
+    rows = [(k, "\n".join(pool[(a + j) % 60] if rnd.random() < 0.9 else f" own {k} {j}" for a in [rnd.randrange(60)] for j in range(rnd.randrange(30)))) for k in range(150)]
+    rows += [(200, None), (201, ""), (202, "\n".join(["word " * 3] * 400)), (203, "q " * 200_000), (204, "q " * 200_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": pa.array([r[1] for r in rows], pa.string())}))
+    got = sorted((r.row.doc_id, r.n_deleted, r.row.text) for r in dedup_lines(df).collect() if r.row.text is not None)
+    assert got == sorted(r for r in con.sql(queries.oracle_sql()["op4_line_dedup"]).fetchall() if r[2] is not None)
+    assert sum(n for _, n, _ in got) > 500
+
+
 def test_line_dedup_edges(spark):
     long = " ".join(f"w{k}" for k in range(60))
     rows = [(None, long), (1, f"x\n{long}\ny"), (2, None), (2, None), (3, long), (3, long), (4, f"{long}\n" * 3)]
