@@ -81,6 +81,18 @@ def test_word_bpe_round_trip(docs, block_bytes):
         encode_decode(docs, BYTE)
 
 
+def test_word_bpe_of_a_hot_row(spark):
+    """Rows that are all equal fill several blocks, and no block holds them all."""
+    df = spark.createDataFrame([(None, "the same words again " * 20)] * 500 + [(1, "é" * 5000), (2, "x " * 60_000)], "doc_id long, text string").repartition(2)
+    tok = load_tokenizer(WORD)
+    out = encode_decode(df, WORD, 10_000).collect()
+    expected = np.array(tok.encode("the same words again " * 20, add_special_tokens=False).ids, "<u4").tobytes()
+    assert len(out) == 502 and all(r.ids == expected for r in out if r.doc_id is None)
+    assert {len(r.ids) // 4 for r in out if r.doc_id == 2} == {60_000}
+    plan = encode_decode(df, WORD, 10_000)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") >= 3
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(1, 12), max_size=12), st.integers(0, 40))
 def test_fill_window_is_the_best_subset(lengths, room):
