@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -34,7 +34,7 @@ _SHARD = "bucket int, shard int, start_in_bucket long, n_docs int, n_tokens long
 
 
 class EliasFano:
-    """A non-decreasing sequence of integers in near-minimal space with constant-time select."""
+    """A non-decreasing sequence of integers in near-minimal space with select."""
 
     def __init__(self, low_bits: int, low: bytes, high: bytes, samples: bytes, n: int) -> None:
         self.low_bits, self.n = low_bits, n
@@ -56,28 +56,25 @@ class EliasFano:
         bits[ones] = 1
         return cls(low_bits, low, np.packbits(bits, bitorder="little").tobytes(), ones[::SELECT_EVERY].astype("<u4").tobytes(), n)
 
-    def _low_part(self, i: int) -> int:
-        bits = self._low[i * self.low_bits : (i + 1) * self.low_bits]
-        return int((bits.astype(np.int64) << np.arange(self.low_bits)).sum())
-
-    def select(self, i: int) -> int:
-        """The value at position ``i``, by a sample and a short scan."""
-        if not 0 <= i < self.n:
+    def select(self, i: int | np.ndarray) -> np.ndarray:
+        """The values at the given positions: from a position's sample, only the bits up to the next sample are looked at."""
+        i = np.atleast_1d(np.asarray(i, np.int64))
+        if len(i) and not (0 <= i.min() and i.max() < self.n):
             raise IndexError(i)
-        at = int(self._samples[i // SELECT_EVERY])
-        left, width = i % SELECT_EVERY, 4 * SELECT_EVERY
-        while left:
-            ones = np.flatnonzero(self._high[at + 1 : at + 1 + width])
-            if len(ones) >= left:
-                at, left = at + 1 + int(ones[left - 1]), 0
-            else:
-                at, left = at + width, left - len(ones)
-        return ((at - i) << self.low_bits) | self._low_part(i)
-
-    def values(self) -> np.ndarray:
-        ones = np.flatnonzero(self._high)[: self.n]
-        low = (self._low[: self.n * self.low_bits].reshape(self.n, self.low_bits).astype(np.int64) << np.arange(self.low_bits)).sum(axis=1)
-        return ((ones - np.arange(self.n)) << self.low_bits) | low
+        at = np.empty(len(i), np.int64)
+        sample = i // SELECT_EVERY
+        for k in np.unique(sample):
+            low = int(self._samples[k])
+            high = int(self._samples[k + 1]) if k + 1 < len(self._samples) else len(self._high)
+            own = sample == k
+            at[own] = low + np.flatnonzero(self._high[low:high])[i[own] - k * SELECT_EVERY]
+        bits = self._low[i[:, None] * self.low_bits + np.arange(self.low_bits)].astype(np.int64)
+        return ((at - i) << self.low_bits) | (bits << np.arange(self.low_bits)).sum(axis=1)
+
+    def bounds(self, first: int, last: int) -> np.ndarray:
+        """Where documents ``first`` to ``last - 1`` begin, and where the last of them ends."""
+        before = self.select(first - 1) if first else np.zeros(1, np.int64)
+        return np.concatenate([before, self.select(np.arange(first, last))])
 
 
 def _shard_row(bucket: int, shard: int, start: int, doc_ids: list, parts: list[bytes], id_bytes: int) -> dict:
@@ -136,16 +133,23 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int,
     sizes.select("bucket", before.alias("bucket_start"), "n_tokens").write.parquet(f"{path}/manifest")
 
 
+def document_at(shard: Row | dict, k: int) -> np.ndarray:
+    """The ids of the document at position ``k`` of a shard: two selects, and no other document is looked at."""
+    begin, end = EliasFano(shard["low_bits"], shard["low"], shard["high"], shard["samples"], shard["n_docs"]).bounds(k, k + 1).tolist()
+    return np.frombuffer(shard["ids"], f"<u{shard['id_bytes']}", end - begin, begin * shard["id_bytes"])
+
+
 def read_token_shards(spark: SparkSession, path: str) -> DataFrame:
     """The documents of shards at ``path``: doc_id, start, n_tokens, ids (binary, little-endian u4)."""
 
     def docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                ends = EliasFano(row["low_bits"], row["low"], row["high"], row["samples"], row["n_docs"]).values()
-                starts = np.concatenate([[0], ends[:-1]])
+                ef = EliasFano(row["low_bits"], row["low"], row["high"], row["samples"], row["n_docs"])
+                offsets = ef.bounds(0, row["n_docs"])
+                starts, ends = offsets[:-1], offsets[1:]
                 ids = np.frombuffer(row["ids"], f"<u{row['id_bytes']}").astype("<u4")
-                bounds = pa.py_buffer(np.concatenate([[0], 4 * ends]).astype("<i8"))
+                bounds = pa.py_buffer((4 * offsets).astype("<i8"))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(row["doc_ids"], pa.int64()),

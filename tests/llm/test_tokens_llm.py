@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.llm.packing import Packer, fill_window, pack_documents
-from tessera.llm.token_shards import EliasFano, read_token_shards, write_token_shards
+from tessera.llm.token_shards import EliasFano, document_at, read_token_shards, write_token_shards
 from tessera.llm.tokens import Encoder, load_tokenizer, tokenizer_path
 from tessera.llm.word_bpe import encode_decode
 
@@ -41,9 +41,12 @@ def test_elias_fano(gaps):
     values = np.cumsum(gaps).astype(np.int64) if gaps else np.zeros(0, np.int64)
     ef = EliasFano.encode(values)
     read = EliasFano(ef.low_bits, ef.low, ef.high, ef.samples, ef.n)
-    assert read.values().tolist() == values.tolist()
+    assert read.select(np.arange(ef.n)).tolist() == values.tolist()
     for i in range(0, len(values), 37):
-        assert read.select(i) == values[i]
+        assert read.select(i).tolist() == [values[i]]
+        assert read.bounds(i, i + 1).tolist() == [values[i - 1] if i else 0, values[i]]
+    some = np.array([i for i in (5, 300, 301, 650, 2) if i < ef.n], np.int64)
+    assert read.select(some).tolist() == values[some].tolist()
     assert len(ef.low) + len(ef.high) <= len(values) * (2 + np.log2(max(2, (values[-1] if len(values) else 0) / max(1, len(values))))) / 8 + len(values) / 4 + 16
     with pytest.raises(IndexError):
         read.select(len(values))
@@ -60,6 +63,8 @@ def test_shards_round_trip(spark, docs, tmp_path):
     for d, s, n, _ in got:
         assert s == start
         start += n
+    shards = spark.read.parquet(str(tmp_path / "s" / "shards")).orderBy("bucket", "shard").collect()
+    assert [document_at(s, k).tolist() for s in shards for k in range(s.n_docs)] == [ids for _, _, ids in expected]
 
 
 def test_shards_of_an_empty_table(spark, docs, tmp_path):
