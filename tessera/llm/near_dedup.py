@@ -11,8 +11,9 @@ Signatures are banded. Candidates are verified by the overlap of their multisets
 equal in words are one class from the start. Buckets that share documents form families, which are only an upper bound for
 groups of near copies. A family meets in one task, or in blocks of ``BLOCK`` documents if it is larger, and there each document is
 compared with members of its buckets until it is known which groups it links: a pair of a bucket is left out only if both are
-already in one group. Across blocks the buckets' smallest documents are compared first; what is then not in
-a family's largest group is compared with every block. So copies cost a few comparisons each and never all pairs; no pair is a row.
+already in one group. Of families with several blocks, buckets' smallest documents are compared with the others next. Then only buckets that still hold
+several groups meet, each distinct set of members once: what is not in such a bucket's largest group is compared with its members, by blocks of both. So copies cost a
+few comparisons each and never all pairs, a family costs no more than its buckets, however large it is, and no pair is a row.
 
 Defined cases: texts of one to four words are one shingle; a null text, or one without words, is
 similar to nothing; a null ``doc_id`` takes part in nothing (component null, kept); rows that share an
@@ -36,10 +37,10 @@ from .common import join_groups, materialize
 from .components import connected_components
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Bands and rows: a pair of similarity 0.8 is missed with a probability of 5e-5.
-BANDS, ROWS = 25, 5
+#: Bands and rows: a pair of similarity 0.8 is missed with a probability of 5e-4, one of 0.85 with 7e-6; one of 0.5 is compared with one of 0.32.
+BANDS, ROWS = 25, 6
 
-#: Documents of a family that meet in a task.
+#: Documents of a family, or of a bucket, that meet in a task.
 BLOCK = 1024
 
 _words = re.compile(r"\w+").findall
@@ -226,21 +227,20 @@ class _Sets:
         self.up[b] = a
 
 
-def _compare(left: list[tuple], right: list[tuple] | None, least: float) -> Iterator[tuple[int, int]]:
-    """Links that join groups, among ``left`` or between left and right: rows of (id, group, bands, bag)."""
-    sets, others = _Sets(), left if right is None else right
-    bands = np.array([r[2] for r in others], np.int64)
-    bags = [np.frombuffer(r[3], np.uint32) for r in others]
+def _compare(rows: list[tuple], least: float) -> Iterator[tuple[int, int]]:
+    """Links that join documents of a block: rows of (id, bands, bag)."""
+    sets = _Sets()
+    bands = np.array([r[1] for r in rows], np.int64)
+    bags = [np.frombuffer(r[2], np.uint32) for r in rows]
     sizes = np.array([len(b) for b in bags])
-    for k, (doc, group, own, bag) in enumerate(left):
-        bag = np.frombuffer(bag, np.uint32)
-        upto = k if right is None else len(others)
-        shares = (bands[:upto] == np.array(own, np.int64)).any(axis=1)
-        fits = np.minimum(sizes[:upto], len(bag)) >= least * np.maximum(sizes[:upto], len(bag))
+    for k, (doc, own, _) in enumerate(rows):
+        bag = bags[k]
+        shares = (bands[:k] == np.array(own, np.int64)).any(axis=1)
+        fits = np.minimum(sizes[:k], len(bag)) >= least * np.maximum(sizes[:k], len(bag))
         for j in np.flatnonzero(shares & fits).tolist():
-            if sets.find(group) != sets.find(others[j][1]) and similarity(bag, bags[j]) >= least:
-                sets.join(group, others[j][1])
-                yield doc, others[j][0]
+            if sets.find(doc) != sets.find(rows[j][0]) and similarity(bag, bags[j]) >= least:
+                sets.join(doc, rows[j][0])
+                yield doc, rows[j][0]
 
 
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -256,7 +256,7 @@ def _within(least: float):
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _groups(batches, 2):
             sets = _Sets()
-            for a, b in _compare(rows, None, least):
+            for a, b in _compare(rows, least):
                 sets.join(a, b)
             if sets.up:
                 yield _edge_batch([(doc, sets.find(doc)) for doc in list(sets.up) if sets.find(doc) != doc])
@@ -265,10 +265,23 @@ def _within(least: float):
 
 
 def _across(least: float):
+    """Links that join groups, of a bucket's asked rows with its held ones: rows of (bucket, block, chunk, asked, id, group, bag)."""
+
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _groups(batches, 3):
             asked, held = ([r[1:] for r in rows if r[0] == side] for side in (True, False))
-            if asked and held and (found := list(_compare(asked, held, least))):
+            if not asked or not held:
+                continue
+            sets, found = _Sets(), []
+            bags = [np.frombuffer(r[2], np.uint32) for r in held]
+            sizes = np.array([len(b) for b in bags])
+            for doc, group, bag in asked:
+                bag = np.frombuffer(bag, np.uint32)
+                for j in np.flatnonzero(np.minimum(sizes, len(bag)) >= least * np.maximum(sizes, len(bag))).tolist():
+                    if sets.find(group) != sets.find(held[j][1]) and similarity(bag, bags[j]) >= least:
+                        sets.join(group, held[j][1])
+                        found.append((doc, held[j][0]))
+            if found:
                 yield _edge_batch(found)
 
     return across
@@ -276,22 +289,31 @@ def _across(least: float):
 
 def _between_blocks(full: DataFrame, leaders: DataFrame, within: DataFrame, least: float) -> DataFrame:
     """Links between the blocks of families that have several. ``full`` holds only these families' documents."""
-    named = full.select("rep", "family")
+    named = full.select("rep")
     pairs = leaders.join(named.select(F.col("rep").alias("b")), "b", "left_semi")
     bags = full.select(F.col("rep").alias("doc_id"), "bag")
     across = _links(pairs, bags, least)
     component = materialize(connected_components(within.unionByName(across)).withColumnRenamed("node", "rep"), "found").df
-    grouped = materialize(full.join(component, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "grouped").df
-    largest = grouped.groupBy("family", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("family").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("size"))
-    largest = materialize(largest.select("family", F.col("top.component").alias("top"), "size", F.ceil((F.col("size") - F.col("top.c")) / BLOCK).cast("int").alias("chunks")), "largest").df
-    rows = join_groups(grouped, largest, ["family"], "size", grouped.count())
-    held = rows.where("chunks > 0").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("asked", F.lit(False))
-    asked = rows.where("component <> top").withColumn("chunk", F.pmod(F.xxhash64(F.lit(3), "rep"), F.col("chunks")).cast("int")).withColumn("asked", F.lit(True))
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    columns = ["family", "block", "chunk", "asked", "rep", "component", "bands", "bag"]
-    key = columns[:3]
-    met = held.select(columns).unionByName(asked.select(columns)).repartition(*key).sortWithinPartitions(*key, "asked", "rep")
-    return across.unionByName(materialize(met.mapInArrow(_across(least), "a long, b long"), "strays").df)
+    grouped = materialize(full.select("rep", "bands", "bag").join(component, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "grouped")
+    places = materialize(grouped.df.select("rep", "component", F.explode("bands").alias("bucket")), "places")
+    # Buckets that still hold several groups; of buckets with the same members, one.
+    held = places.df.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("rep")).alias("s"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("t"))
+    mixed = held.groupBy("bucket").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("size"), F.count(F.lit(1)).alias("groups"), F.bit_xor("s").alias("s"), F.bit_xor("t").alias("t")).where("groups > 1")
+    mixed = mixed.groupBy("size", "s", "t").agg(F.min(F.struct("bucket", "top")).alias("one")).select("one.bucket", F.col("one.top.component").alias("top"), "size", F.col("one.top.c").alias("c"))
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    mixed = materialize(mixed.select("bucket", "top", "size", blocks.alias("blocks"), F.ceil((F.col("size") - F.col("c")) / BLOCK).cast("int").alias("chunks")), "mixed")
+    rows = join_groups(places.df, mixed.df, ["bucket"], "size", places.df.count())
+    deal = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "rep"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    kept = rows.withColumn("block", deal("blocks", 1)).withColumn("chunk", every("chunks")).withColumn("asked", F.lit(False))
+    asked = rows.where("component <> top").withColumn("chunk", deal("chunks", 3)).withColumn("block", every("blocks")).withColumn("asked", F.lit(True))
+    key = ["bucket", "block", "chunk"]
+    met = kept.select(*key, "asked", "rep").unionByName(asked.select(*key, "asked", "rep")).join(grouped.df.select("rep", "component", "bag"), "rep")
+    met = met.select(*key, "asked", "rep", "component", "bag").repartition(*key).sortWithinPartitions(*key, "asked", "rep")
+    strays = materialize(met.mapInArrow(_across(least), "a long, b long"), "strays")
+    for table in (grouped, places, mixed):
+        table.drop()
+    return across.unionByName(strays.df)
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -332,7 +354,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     sizes = materialize(family.df.groupBy("family").agg(F.count(F.lit(1)).alias("size")).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")), "sizes")
     placed = join_groups(family.df, sizes.df, ["family"], "size", total).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     full = materialize(placed.join(reps.df, "rep").join(bags, ["doc_id", "words"]).select("family", "block", "rep", "bands", "bag", "blocks"), "full")
-    met = full.df.select("family", "block", "rep", F.col("rep").alias("component"), "bands", "bag").repartition("family", "block").sortWithinPartitions("family", "block", "rep")
+    met = full.df.select("family", "block", "rep", "bands", "bag").repartition("family", "block").sortWithinPartitions("family", "block", "rep")
     links = materialize(met.mapInArrow(_within(least), "a long, b long"), "links").df
     large = full.df.where("blocks > 1")
     if not large.isEmpty():
@@ -349,3 +371,26 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         named = join_groups(named, least_ids, ["component"], "size", named.count()).select("doc_id", F.col("first").alias("component"))
     out = rows.select("doc_id").join(named, "doc_id", "left")
     return out.select("doc_id", F.coalesce("component", "doc_id").alias("component_id"), (F.col("doc_id").isNull() | (F.coalesce("component", "doc_id") == F.col("doc_id"))).alias("kept"))
+
+
+#: The same rows in SQL for DuckDB, over a table ``documents``: all pairs of texts that share a shingle are compared.
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS a FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+), c AS (SELECT row_number() OVER () AS id, a FROM (SELECT DISTINCT a FROM w WHERE len(a) > 0)
+), s AS (
+  SELECT id, array_to_string(a[i:i + 4], ' ') AS shingle, count(*) AS n FROM (SELECT id, a, unnest(range(1, greatest(1, len(a) - 4) + 1)) AS i FROM c) GROUP BY ALL
+), t AS (SELECT id, sum(n) AS total FROM s GROUP BY id
+), pairs AS (SELECT x.id AS a, y.id AS b, sum(least(x.n, y.n)) AS same FROM s x JOIN s y ON x.shingle = y.shingle AND x.id < y.id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM pairs JOIN t ta ON ta.id = a JOIN t tb ON tb.id = b WHERE same >= 0.8 * (ta.total + tb.total - same)
+), d AS (SELECT DISTINCT doc_id, id FROM w JOIN c USING (a)
+), edges AS (
+  SELECT p.doc_id AS a, q.doc_id AS b FROM d p JOIN d q ON p.id = q.id WHERE p.doc_id <> q.doc_id
+  UNION SELECT p.doc_id, q.doc_id FROM links JOIN d p ON p.id = a JOIN d q ON q.id = b
+  UNION SELECT q.doc_id, p.doc_id FROM links JOIN d p ON p.id = a JOIN d q ON q.id = b
+), reach AS (SELECT DISTINCT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a
+), least AS (SELECT a AS doc_id, min(b) AS component FROM reach GROUP BY a)
+SELECT documents.doc_id, coalesce(component, documents.doc_id) AS component_id, documents.doc_id IS NULL OR coalesce(component, documents.doc_id) = documents.doc_id AS kept
+FROM documents LEFT JOIN least ON documents.doc_id = least.doc_id
+"""

@@ -15,6 +15,7 @@ from .exact_dedup import exact_duplicates
 from .html_text import extract_pages
 from .line_dedup import ORACLE_SQL as _OP4
 from .line_dedup import dedup_lines
+from .near_dedup import ORACLE_SQL as _OP1
 from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .quotations import ORACLE_SQL as _OP8
@@ -103,4 +104,4 @@ FROM v LEFT JOIN counts USING (r) LEFT JOIN least ON vec_id = a
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_embedding_dedup": _OP3, "op4_line_dedup": _OP4, "op8_chat_quotations": _OP8, "op10_exact_dedup": _OP10}
+    return {"op1_near_dedup": _OP1, "op3_embedding_dedup": _OP3, "op4_line_dedup": _OP4, "op8_chat_quotations": _OP8, "op10_exact_dedup": _OP10}

@@ -98,6 +98,29 @@ def test_near_duplicates_of_each_text_of_an_id(spark):
         assert (r.component_id, r.kept) == (first, first == r.doc_id)
 
 
+def test_near_duplicates_of_very_long_texts(spark):
+    rnd = random.Random(7)
+    long = [f"w{rnd.randrange(10**6)}" for _ in range(200_000)]
+    rows = [(1, " ".join(long)), (2, " ".join([*long[:190_000], "end"])), (3, " ".join(long[:100_000])), (4, "x " * 300_000), (5, "x " * 299_000)]
+    out = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4}
+
+
+@pytest.mark.parametrize("block", [5, 1024])
+def test_near_misses_meet_by_bucket(spark, monkeypatch, block):
+    """One family of texts that are half alike, with a few pairs that are similar, against SQL."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    rnd = random.Random(11)
+    common = [f"c{k}" for k in range(100)]
+    rows = [(k, " ".join(common + [f"x{rnd.randrange(10**6)}" for _ in range(60)])) for k in range(80)]
+    rows += [(100 + k, rows[3 * k][1] + " more words") for k in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]}))
+    got = {tuple(r) for r in near_duplicates(df).collect()}
+    assert got == set(con.sql(queries.oracle_sql()["op1_near_dedup"]).fetchall()) and sum(not r[2] for r in got) == 12
+
+
 def test_components(spark):
     rnd, sets = random.Random(1), Sets()
     edges = [(k, k + 1) for k in range(0, 60)] + [(rnd.randrange(100, 300), rnd.randrange(100, 300)) for _ in range(110)] + [(900, 900), (500, 501), (501, 500)] + [(400, 401 + k) for k in range(50)]
