@@ -14,10 +14,11 @@ from pyspark.sql import SparkSession
 from .functions.text import human_bytes
 from .operators import index as index_ops
 from .operators import search
+from .operators.batches import BATCH_SIZE, TOKEN_LIMIT
 from .operators.rows import top_with_rest
 from .plans import lifecycle, prepare
 from .sources import files
-from .spec import IndexConfig, SourceConfig, index_stub, load_registry, parse_configs, source_stub
+from .spec import IndexConfig, SourceConfig, index_stub, load_attribute, load_registry, parse_configs, source_stub
 
 log = logging.getLogger("tessera")
 
@@ -78,7 +79,11 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--truncation-strategy", default="auto", choices=("auto", "end", "start", "middle_out", "sentences"))
     p.add_argument("--embedding-token-limit", type=int, default=8191)
     p.add_argument("--skip-validation", action="store_true")
-    p.add_argument("--partition-out-dir")
+    p.add_argument("--partition-out-dir", help="directory for states and error reports")
+    p.add_argument("--resume", action="store_true", help="pass over partitions that are complete and unchanged, by the states in --partition-out-dir")
+    p.add_argument("--embedding", help="embedding function, as module:attribute; the default hashes words")
+    p.add_argument("--batch-size", type=int, default=BATCH_SIZE, help="documents in a request")
+    p.add_argument("--token-limit", type=int, default=TOKEN_LIMIT, help="tokens in a request")
     p.add_argument("--delete-stale", action="store_true")
     p.add_argument("--e2e-sample-size", type=int, help="write a sample of documents to --e2e-output")
     p.add_argument("--e2e-output")
@@ -137,18 +142,19 @@ def execute(args: argparse.Namespace, spark: SparkSession) -> object:
     if args.command == "index":
         registry = _registry(args)
         configs = parse_configs(files.read_json(spark, args.config), registry, IndexConfig) if args.config else None
-        counts = prepare.index_partitions(
-            spark, args.partition_manifest, args.output_root, registry, args.index, configs, args.collection_prefix, args.collection, strict=not args.skip_validation, strategy=args.truncation_strategy, embedding_tokens=args.embedding_token_limit
-        )
-        if args.partition_out_dir:
-            prepare.write_states(spark, args.index, args.partition_out_dir)
+        if args.resume and not args.partition_out_dir:
+            raise ValueError("--resume needs --partition-out-dir")
+        prepare.index_partitions(
+            spark, args.partition_manifest, args.output_root, registry, args.index, configs, args.collection_prefix, args.collection, strict=not args.skip_validation, strategy=args.truncation_strategy, embedding_tokens=args.embedding_token_limit,
+            embedding=load_attribute(args.embedding) if args.embedding else None, batch_size=args.batch_size, token_limit=args.token_limit, states_dir=args.partition_out_dir, resume=args.resume,
+        )
         if args.delete_stale:
             lifecycle.delete_stale(spark, args.partition_manifest, args.index)
-        if args.e2e_sample_size:
+        if args.e2e_sample_size and index_ops.open_index(spark, args.index) is not None:
             from .operators.documents import audit_sample
 
             audit_sample(index_ops.open_index(spark, args.index), args.e2e_sample_size, seed=args.e2e_random_seed).write.mode("overwrite").json(args.e2e_output)
-        return [r.asDict() for r in counts.orderBy("collection", "model_name").collect()]
+        return [r.asDict() for r in prepare.index_counts(spark, args.index).orderBy("collection", "model_name").collect()]
     if args.command == "display":
         index = index_ops.open_index(spark, args.index)
         return [] if index is None else [r.asDict() for r in top_with_rest(search.model_stats(index), "model_name", "documents", args.top).collect()]

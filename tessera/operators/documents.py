@@ -18,6 +18,8 @@ from .rows import remap
 
 #: Bytes that a document may have before it is compacted.
 MOST_BYTES = 16_384
+# Fixed value: marks of layout that compaction removes.
+_MARKS = r"RESET\s*N\d+|NEW-PAGE(?:\s+\w+)?|\*{5,}"
 
 
 def typed(df: DataFrame, spec: TableSpec) -> tuple[DataFrame, DataFrame]:
@@ -32,8 +34,12 @@ def typed(df: DataFrame, spec: TableSpec) -> tuple[DataFrame, DataFrame]:
     return checked.where("NOT _bad").drop("_bad"), checked.where("_bad").drop("_bad")
 
 
-def checked(df: DataFrame, check: Callable[[dict[str, Any]], Mapping[str, Any] | None], schema: StructType) -> DataFrame:
-    """Rows as a Python validator makes them, for rules that a cast can't express. It returns the fields, or None or a ValueError or TypeError for an invalid row."""
+def checked(df: DataFrame, check: Callable[[dict[str, Any]], Mapping[str, Any] | None], schema: StructType, fields: Sequence[str] | None = None) -> DataFrame:
+    """Rows as a Python validator makes them, for rules that a cast can't express. It returns the fields, or None or a ValueError or TypeError for an invalid row.
+
+    Columns other than ``fields`` (default: all) stay as they are.
+    """
+    own = set(schema.fieldNames() if fields is None else fields)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -44,7 +50,7 @@ def checked(df: DataFrame, check: Callable[[dict[str, Any]], Mapping[str, Any] |
                 except (ValueError, TypeError):
                     continue
                 if found is not None:
-                    out.append({name: found.get(name) for name in schema.fieldNames()})
+                    out.append({name: found.get(name, row.get(name) if name not in own else None) for name in schema.fieldNames()})
             yield pa.RecordBatch.from_pylist(out, schema=to_arrow_schema(schema))
 
     return df.mapInArrow(rows, schema)
@@ -73,6 +79,8 @@ def build_documents(rows: DataFrame, spec: TableSpec, columns: Mapping[str, str]
     if strict:
         require_valid(mapped, spec)
     valid, _ = typed(mapped, spec)
+    if spec.check is not None:
+        valid = checked(valid, spec.check, valid.schema, spec.fields)
     text, has_sem = semantic_text(spec)
     entries: dict[str, Column] = {"model_name": F.lit(spec.name)}
     if source_path is not None:
@@ -98,7 +106,7 @@ class Compactor(Protocol):
 
 def compact_rules(text: Column) -> Column:
     """The default: page and reset marks and runs of stars go, and white space becomes single spaces."""
-    return F.regexp_replace(F.regexp_replace(text, r"RESET N\d+|NEW-PAGE|\*{5,}", ""), r"\s{2,}", " ")
+    return F.regexp_replace(F.regexp_replace(text, _MARKS, ""), r"\s{2,}", " ")
 
 
 def compact(documents: DataFrame, limit: int = MOST_BYTES, compactor: Compactor = compact_rules) -> DataFrame:

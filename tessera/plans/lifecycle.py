@@ -115,12 +115,12 @@ def apply_drop_to_index(spark: SparkSession, config: Mapping[str, Any], index_pa
     return {m: index_ops.delete(spark, index_path, index_ops.drop_filter(m, d["partitions"], d["schema_versions"]), apply) for m, d in drops.items()}
 
 
-def delete_stale(spark: SparkSession, manifest_path: str, index_path: str, collection_of=lambda partition: partition) -> list[str]:
-    """Remove stale partitions from the index and mark them as deleted."""
+def delete_stale(spark: SparkSession, manifest_path: str, index_path: str) -> list[str]:
+    """Remove the documents of stale partitions from the index, in whatever collections they are, and mark the partitions as deleted."""
     manifest, out = metadata.load_manifest(spark, manifest_path), []
     for p in manifest["partitions"]:
         if p.get("stale") and not p.get("deleted"):
-            index_ops.delete(spark, index_path, {"$and": [{"collection": collection_of(p["name"])}, {"partition_name": p["name"]}]})
+            index_ops.delete(spark, index_path, {"partition_name": p["name"]})
             p.update(deleted=True, deleted_at=now())
             out.append(p["name"])
     if out:

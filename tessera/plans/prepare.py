@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import logging
+import re
+import traceback
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,11 +17,15 @@ from ..functions.truncate import Counter, count_words, token_budget
 from ..operators import documents as doc_ops
 from ..operators import index as index_ops
 from ..operators import rows as row_ops
+from ..operators.batches import BATCH_SIZE, TOKEN_LIMIT
 from ..sources import files, metadata
 from ..sources.delimited import FILE, ROW, read_rows
 from ..spec import IndexConfig, SourceConfig, TableSpec, active
+from ..tables import materialize
 from . import lifecycle
 
+log = logging.getLogger("tessera")
+
 #: Where a run's rows are, below the output root: Parquet by partition and model.
 DATA = "data"
 
@@ -111,18 +118,33 @@ def index_partitions(
     strategy: str | None = "auto",
     embedding_tokens: int = 8191,
     count: Counter = count_words,
+    batch_size: int = BATCH_SIZE,
+    token_limit: int = TOKEN_LIMIT,
+    states_dir: str | None = None,
+    resume: bool = False,
 ) -> DataFrame:
     """Index the live partitions of a manifest: one plan a model, appended where ids are new. Returns the counts by collection and model.
 
-    The collection is one for each partition, or ``collection`` for all.
+    The collection is one for each partition, or ``collection`` for all. Only new documents are embedded, in requests of at most ``batch_size`` documents and
+    ``token_limit`` tokens, which are asked again when they are rate-limited. With ``states_dir``, states are written there, and a report for each request that failed; what was embedded
+    is kept, and the model's state in these partitions is not complete. ``resume`` passes over partitions whose state is complete and whose files are as they were then.
+    Without ``states_dir`` a failed request is an error, raised after what was embedded has been kept.
     """
     manifest = metadata.load_manifest(spark, manifest_path)
+    target_of = lambda partition: collection or (f"{prefix}_{partition}" if prefix else partition)
     models: dict[str, list[dict[str, Any]]] = {}
     for p in manifest["partitions"]:
         if not p.get("stale") and not p.get("deleted"):
             for m, e in (p.get("models") or {}).items():
-                if not e.get("deleted"):
-                    models.setdefault(m, []).append({"partition": p["name"], "path": f"{root}/{e['path']}", "schema_version": e.get("schema_version")})
+                if e.get("deleted"):
+                    continue
+                part = {"partition": p["name"], "path": f"{root}/{e['path']}", "schema_version": e.get("schema_version"), "signature": files.signature(spark, f"{root}/{e['path']}")}
+                if resume and states_dir and lifecycle.unchanged(read_state(spark, states_dir, p["name"], target_of(p["name"])).get(m), part["signature"]):
+                    continue
+                models.setdefault(m, []).append(part)
+    asked = embedding or index_ops.HashingEmbedding()
+    asked = asked if isinstance(asked, index_ops.Retrying) else index_ops.Retrying(asked)
+    failed: list[str] = []
     for model, parts in models.items():
         spec, config = registry[model], (configs or {}).get(model) or IndexConfig()
         documents = []
@@ -131,25 +153,67 @@ def index_partitions(
             rows = spark.read.option("basePath", f"{root}/{DATA}").parquet(*paths)
             built = doc_ops.build_documents(rows.drop("model_name"), spec, config.columns, {"schema_version": version}, source_path=f"{root}/{DATA}", strict=strict, carry=["partition_name"])
             documents.append(built.withColumn("schema_version", F.lit(str(version))))
-        built = doc_ops.compact(row_ops.union_all(documents))
-        built = doc_ops.limit_tokens(built, token_budget(embedding_tokens), config.truncation_strategy or strategy, spec.semantic_fields, count)
         target = F.lit(collection) if collection else collection_name(F.col("partition_name"), prefix)
-        index_ops.append(spark, index_ops.embed(built.withColumn("collection", target), embedding or index_ops.HashingEmbedding()), index_path)
+        fresh = index_ops.new_documents(row_ops.union_all(documents).withColumn("collection", target), index_ops.open_index(spark, index_path))
+        built = doc_ops.limit_tokens(doc_ops.compact(fresh), token_budget(embedding_tokens), config.truncation_strategy or strategy, spec.semantic_fields, count)
+        done = materialize(index_ops.embed_requests(built, asked, batch_size, token_limit), "embedded")
+        index_ops.append(spark, done.df.where("embedding IS NOT NULL").drop("request", "failure"), index_path)
+        missing = {r["partition_name"]: r["n"] for r in done.df.where("embedding IS NULL").groupBy("partition_name").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a partition
+        if missing and not states_dir:
+            first = done.df.where("failure IS NOT NULL").select("failure").first()
+            raise RuntimeError(f"{model}: {sum(missing.values())} documents have no embedding: {first['failure']['type']}: {first['failure']['message']}")
+        if states_dir:
+            _write_reports(spark, states_dir, model, done.df)
+            _write_model_state(spark, states_dir, index_path, model, parts, target_of, missing)
+        failed += [f"{model} in {p}" for p in missing]
+        done.drop()
+    if failed:
+        log.error("not all documents have an embedding: %s", ", ".join(failed))
+    return index_counts(spark, index_path)
+
+
+def index_counts(spark: SparkSession, index_path: str) -> DataFrame:
     found = index_ops.open_index(spark, index_path)
     return spark.createDataFrame([], "collection string, model_name string, documents long") if found is None else found.groupBy("collection", "model_name").agg(F.count(F.lit(1)).alias("documents"))
 
 
+def _write_reports(spark: SparkSession, out_dir: str, model: str, embedded: DataFrame) -> None:
+    """One report for each request that failed and partition in it; a task has one such request, and documents that no request can hold are reported alone."""
+    bad = embedded.where("failure IS NOT NULL").select("partition_name", F.coalesce("request", "doc_id").alias("request"), "doc_id", "document", "metadata", "tokens", "failure")
+    reports = bad.groupBy("partition_name", "request").agg(F.first("failure").alias("failure"), F.collect_list(F.struct(F.col("doc_id").alias("id"), "document", "metadata", F.col("tokens").alias("token_count"))).alias("rows"))
+    for r in reports.toLocalIterator():
+        rows = [{"row_index": k, **x.asDict()} for k, x in enumerate(r["rows"])]
+        _write_report(spark, out_dir, r["partition_name"], model, "embedding-request", rows, r["failure"].asDict(), {"row_index": 0}, sum(x["token_count"] or 0 for x in rows))
+
+
+def _write_model_state(spark: SparkSession, out_dir: str, index_path: str, model: str, parts: Sequence[Mapping[str, Any]], target_of: Callable[[str], str], missing: Mapping[str, int]) -> None:
+    """The model's part of the states of the partitions at hand; other models' parts stay."""
+    index = index_ops.open_index(spark, index_path)
+    counts = {} if index is None else {r["partition_name"]: r["n"] for r in index.where((F.col("model_name") == model) & F.col("partition_name").isin([p["partition"] for p in parts])).groupBy("partition_name").agg(F.count(F.lit(1)).alias("n")).collect()}
+    for p in parts:
+        name, n = p["partition"], counts.get(p["partition"], 0)
+        states = read_state(spark, out_dir, name, target_of(name))
+        states[model] = {"started": True, "complete": name not in missing, "collection_count": n, "documents_indexed": n, "indexed_at": lifecycle.now(), "source_signature": p["signature"]}
+        write_state(spark, out_dir, name, target_of(name), states)
+
+
+def read_state(spark: SparkSession, out_dir: str, partition: str, collection: str) -> dict[str, Any]:
+    """The states of a collection's models, none where there is no file."""
+    path = f"{out_dir}/{partition}/{collection}_resume_state.json"
+    found = files.read_json(spark, path) if files.exists(spark, path) else {}
+    return dict(found) if isinstance(found, Mapping) else {}
+
+
 def write_error_report(spark: SparkSession, out_dir: str, partition: str, model: str, reason: str, rows: Sequence[Mapping[str, Any]], exception: Exception, resume_state: Mapping[str, Any] | None = None) -> str:
     """An error report of a failed batch as JSON; its name begins with the time."""
-    import re
-    import traceback
+    failure = {"type": type(exception).__name__, "message": str(exception), "traceback": "".join(traceback.format_exception(exception))}
+    return _write_report(spark, out_dir, partition, model, reason, rows, failure, resume_state)
+
 
+def _write_report(spark: SparkSession, out_dir: str, partition: str, model: str, reason: str, rows: Sequence[Mapping[str, Any]], failure: Mapping[str, str], resume_state: Mapping[str, Any] | None, tokens: int | None = None) -> str:
     stamp = lifecycle.now()
     path = f"{out_dir}/{partition}/errors/{stamp.replace(':', '').replace('-', '')}_{re.sub('[^0-9A-Za-z_.-]', '_', model)}_{uuid.uuid4().hex[:6]}.json"
-    report = {
-        "timestamp": stamp, "model": model, "partition_name": partition, "reason": reason, "batch": {"size": len(rows)}, "resume_state": dict(resume_state or {}), "rows": [dict(r) for r in rows],
-        "exception": {"type": type(exception).__name__, "message": str(exception), "traceback": "".join(traceback.format_exception(exception))},
-    }
+    report = {"timestamp": stamp, "model": model, "partition_name": partition, "reason": reason, "batch": {"size": len(rows), "token_total": tokens}, "resume_state": dict(resume_state or {}), "rows": [dict(r) for r in rows], "exception": dict(failure)}
     files.write_json(spark, path, report)
     return path
 

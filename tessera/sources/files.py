@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -28,11 +30,14 @@ def listing(spark: SparkSession, path: str, directories: bool = False) -> list[s
 
 
 def signature(spark: SparkSession, path: str) -> dict[str, int] | None:
-    """{mtime, size} of a file, None if there is none: equal signatures mean an unchanged source."""
+    """{mtime, size} of a file, or of a directory's files (latest time, sum); None if there is none: equal signatures mean an unchanged source."""
     fs, p = _fs(spark, path)
     if not fs.exists(p):
         return None
     status = fs.getFileStatus(p)
+    if status.isDirectory():
+        found = [s for s in fs.listStatus(p) if s.isFile()]
+        return {"mtime": max((s.getModificationTime() for s in found), default=0), "size": sum(s.getLen() for s in found)}
     return {"mtime": status.getModificationTime(), "size": status.getLen()}
 
 
@@ -49,10 +54,36 @@ def read_json(spark: SparkSession, path: str) -> Any:
     return json.loads(read_text(spark, path))
 
 
+def replace_file(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a file over another, in one step where the store can, so that there is an old or a new one at any time."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    fs, p = _fs(spark, target)
+    _, new = _fs(spark, source)
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(new), fs.makeQualified(p), options)
+        return
+    except Py4JJavaError as e:
+        if not fs.exists(new):
+            raise OSError(f"could not rename {source}") from e
+    # A store without such a rename: the old file is kept aside until the new one is there.
+    _, aside = _fs(spark, f"{target}.old-{uuid.uuid4().hex}")
+    had = fs.exists(p) and fs.rename(p, aside)
+    if not fs.rename(new, p):
+        if had:
+            fs.rename(aside, p)
+        raise OSError(f"could not rename {source}")
+    if had:
+        fs.delete(aside, False)
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Write beside the target and rename, so that a reader never sees half a file."""
+    """Write beside the target and rename over it, so that a reader never sees half a file or none."""
     fs, p = _fs(spark, path)
-    _, beside = _fs(spark, f"{path}.tmp")
+    temporary = f"{path}.{uuid.uuid4().hex}.tmp"
+    _, beside = _fs(spark, temporary)
+    fs.mkdirs(p.getParent())
     fs.setWriteChecksum(False)  # people edit these files
     try:
         stream = fs.create(beside, True)
@@ -62,10 +93,7 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
             stream.close()
     finally:
         fs.setWriteChecksum(True)
-    if fs.exists(p):
-        fs.delete(p, False)
-    if not fs.rename(beside, p):
-        raise OSError(f"could not rename {path}.tmp")
+    replace_file(spark, temporary, path)
 
 
 def write_json(spark: SparkSession, path: str, value: Any) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import importlib
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -22,6 +22,8 @@ class TableSpec:
     schema: StructType
     semantic_fields: tuple[str, ...] = ()
     keyword_fields: tuple[str, ...] = ()
+    #: A validator of rows after casting, for rules that types can't express: it returns the fields, or None or a ValueError or TypeError for an invalid row.
+    check: Callable[[dict[str, Any]], Mapping[str, Any] | None] | None = field(default=None, compare=False)
 
     @classmethod
     def of_strings(cls, name: str, required: Sequence[str], optional: Sequence[str] = (), **kwargs) -> TableSpec:
@@ -40,12 +42,7 @@ class TableSpec:
 
 def load_registry(target: str) -> dict[str, TableSpec]:
     """The registry at ``module:attribute[.attribute]``: a mapping from names to specs that isn't empty."""
-    module, sep, path = target.partition(":")
-    if not module or not sep or not path:
-        raise ValueError(f"{target!r} is not of the form module:attribute")
-    found: Any = importlib.import_module(module)
-    for part in path.split("."):
-        found = getattr(found, part)
+    found = load_attribute(target)
     if not isinstance(found, Mapping) or not found:
         raise TypeError(f"{target} is not a mapping with entries")
     for name, spec in found.items():
@@ -54,6 +51,17 @@ def load_registry(target: str) -> dict[str, TableSpec]:
     return dict(found)
 
 
+def load_attribute(target: str) -> Any:
+    """What ``module:attribute[.attribute]`` names."""
+    module, sep, path = target.partition(":")
+    if not module or not sep or not path:
+        raise ValueError(f"{target!r} is not of the form module:attribute")
+    found: Any = importlib.import_module(module)
+    for part in path.split("."):
+        found = getattr(found, part)
+    return found
+
+
 def _columns(name: str, raw: Any) -> dict[str, str]:
     if raw is None:
         return {}

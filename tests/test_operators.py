@@ -101,7 +101,7 @@ def test_retries():
 
 def test_compaction_and_tokens(spark):
     big = "word " * 20
-    df = spark.createDataFrame([("a", "x", "M"), ("b", big, "M"), ("c", "NEW-PAGE RESET N12 a *****   b" + "é" * 40, "Table")], "doc_id string, document string, model_name string")
+    df = spark.createDataFrame([("a", "x", "M"), ("b", big, "M"), ("c", "NEW-PAGE 7 RESETN3 RESET  N12 a *****   b" + "é" * 40, "Table")], "doc_id string, document string, model_name string")
     out = {r.doc_id: r for r in documents.compact(df, 60).collect()}
     assert (out["a"].compacted, out["a"].original_bytes) == (False, None)
     assert out["b"].compacted and out["b"].compaction_fallback and len(out["b"].document.encode()) <= 60 and out["b"].original_bytes == 100

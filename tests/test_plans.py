@@ -8,9 +8,10 @@ import pandas as pd
 import pytest
 
 from tessera import cli
-from tessera.operators.index import open_index
+from tessera.operators.documents import build_documents
+from tessera.operators.index import HashingEmbedding, RateLimited, Retrying, embed_requests, open_index
 from tessera.plans import catalogue, lifecycle, prepare
-from tessera.sources import metadata
+from tessera.sources import files, metadata
 from tessera.spec import SourceConfig, TableSpec
 
 SF = "/root/testdata/sf0.001"
@@ -74,10 +75,89 @@ def test_life_of_a_dataset(spark, tmp_path):
     old, new = m["partitions"][0], m["partitions"][-1]
     assert old["stale"] and old["stale_reason"] == "schema-change" and old["replaced_by"] == [new["name"]]
     assert new["replaces"] == ["partition_00001"] and {k: v["rows"] for k, v in new["models"].items()} == {"Table": 2, "Field": 1}
-    assert lifecycle.delete_stale(spark, f"{root}/manifest.json", index, lambda p: f"pre_{p}") == ["partition_00001"]
+    assert lifecycle.delete_stale(spark, f"{root}/manifest.json", index) == ["partition_00001"]
     assert open_index(spark, index) is None or open_index(spark, index).where("partition_name = 'partition_00001'").isEmpty()
 
 
+def fails_on(word, limited=0):
+    """An embedding that fails for texts with a word, and is limited at first. Classes made here are sent to workers whole."""
+
+    class FailsOn:
+        limits = limited
+
+        def __call__(self, texts):
+            if self.limits:
+                self.limits -= 1
+                raise RateLimited()
+            if any(word in t for t in texts):
+                raise ConnectionError("service is down")
+            return HashingEmbedding(8)(texts)
+
+    return FailsOn()
+
+
+def test_index_command(spark, tmp_path, monkeypatch, capsys):
+    import sys
+
+    module = types.ModuleType("registry_of_index_command")
+    module.REGISTRY = {"Table": TABLE, "Field": FIELD}
+    module.down, module.up = fails_on("three"), fails_on("nothing")
+    monkeypatch.setitem(sys.modules, "registry_of_index_command", module)
+    monkeypatch.setattr(cli, "session", lambda: spark)
+    root, index, states = (str(tmp_path / x) for x in ("out", "index", "states"))
+    t = write(tmp_path / "t.csv", "id,title,summary\n" + "".join(f"{k},T{k},{w} words\n" for k, w in enumerate(["one", "two", "three", "four", "five", "six"])))
+    f = write(tmp_path / "f.csv", "name\nx\ny\n")
+    prepare.run(spark, {"Table": SourceConfig(t), "Field": SourceConfig(f)}, module.REGISTRY, root)
+
+    def call(*args):
+        code = cli.main(["index", "--model", "registry_of_index_command:REGISTRY", "--log-no-console", "--partition-manifest", f"{root}/manifest.json", "--output-root", root, "--index", index, "--collection-prefix", "pre", *args])
+        return code, json.loads(capsys.readouterr().out or "null")
+
+    assert call("--resume")[0] == 1 and call("--embedding", "registry_of_index_command:down", "--batch-size", "1")[0] == 1
+    code, _ = call("--partition-out-dir", states, "--embedding", "registry_of_index_command:down", "--batch-size", "1")
+    assert code == 0
+    state = json.loads((tmp_path / "states" / "partition_00001" / "pre_partition_00001_resume_state.json").read_text())
+    assert state["Field"]["complete"] and not state["Table"]["complete"] and state["Table"]["collection_count"] < 6
+    report = metadata.error_reports(spark, states).collect()
+    assert [(r.partition, r.model, r.exception_type, r.exception_message) for r in report] == [("partition_00001", "Table", "ConnectionError", "service is down")]
+    found = json.loads(next((tmp_path / "states" / "partition_00001" / "errors").glob("*.json")).read_text())
+    assert found["batch"] == {"size": 1, "token_total": 3} and found["rows"][0]["document"].startswith("three") and "Traceback" in found["exception"]["traceback"]
+    assert {r.status for r in lifecycle.partition_status(spark, states, root).collect()} == {"errored"}
+    # Only what is missing is asked for again, and nothing once all is there.
+    code, out = call("--partition-out-dir", states, "--embedding", "registry_of_index_command:up", "--resume")
+    assert code == 0 and out == [{"collection": "pre_partition_00001", "model_name": "Field", "documents": 2}, {"collection": "pre_partition_00001", "model_name": "Table", "documents": 6}]
+    assert {r.status for r in lifecycle.partition_status(spark, states, root).collect()} == {"finished"}
+    module.never = fails_on("")
+    assert call("--partition-out-dir", states, "--embedding", "registry_of_index_command:never", "--resume")[0] == 0
+    assert lifecycle.partition_status(spark, states, root).first().status == "finished"
+    # A stale partition goes, whatever its collection is called.
+    m = metadata.load_manifest(spark, f"{root}/manifest.json")
+    m["partitions"][0]["stale"] = True
+    files.write_json(spark, f"{root}/manifest.json", m)
+    assert call("--delete-stale") == (0, [])
+    assert open_index(spark, index) is None and metadata.load_manifest(spark, f"{root}/manifest.json")["partitions"][0]["deleted"]
+
+
+def test_requests(spark):
+    df = spark.createDataFrame([(k, f"text {k}" + (" bad" if k == 7 else ""), 10 if k else 400_000) for k in range(12)], "doc_id int, document string, tokens int").coalesce(1)
+    out = {r.doc_id: r for r in embed_requests(df, Retrying(fails_on("bad", limited=1), first_seconds=0), size=3, limit=1000).collect()}
+    assert out[0].failure.type == "ValueError" and out[0].embedding is None
+    assert all(out[k].embedding and not out[k].failure for k in range(1, 7)) and out[1].request == out[3].request != out[4].request
+    assert [(out[k].embedding, out[k].failure.type) for k in (7, 8, 9)] == [(None, "ConnectionError")] * 3
+    assert all(out[k].embedding is None and out[k].failure is None for k in (10, 11))
+
+
+def test_rows_that_a_validator_refuses_are_left_out(spark):
+    def check(row):
+        if row["name"] == "bad":
+            raise ValueError("bad")
+        return None if row["name"] == "none" else {"name": row["name"].upper()}
+
+    spec = TableSpec.of_strings("Field", ["name"], semantic_fields=("name",), check=check)
+    df = spark.createDataFrame([("a", 1), ("bad", 2), ("none", 3)], "name string, p int")
+    assert [(r.document, r.p) for r in build_documents(df, spec, carry=["p"]).collect()] == [("A", 1)]
+
+
 def test_error_report(spark, tmp_path):
     path = prepare.write_error_report(spark, str(tmp_path), "p1", "A/B", "upsert", [{"row_index": 4}], ValueError("no"), {"row_index": 2})
     assert "A_B" in path
