@@ -27,6 +27,8 @@ from .tokens import encoder, load_tokenizer
 SHARD_TOKENS = 1 << 20
 #: Documents encoded together.
 ENCODE_ROWS = 256
+#: Chunks of text that a worker remembers the ids of.
+REMEMBERED = 800_000
 #: Set bits between two select samples.
 SELECT_EVERY = 256
 
@@ -104,7 +106,7 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int,
     id_bytes = 2 if max(load_tokenizer(tokenizer).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_many, bucket = encoder(tokenizer, f"<u{id_bytes}").encode_many, TaskContext.get().partitionId()
+        encode_many, bucket = encoder(tokenizer, f"<u{id_bytes}", REMEMBERED).encode_many, TaskContext.get().partitionId()
         end = end_id.to_bytes(id_bytes, "little")
         shard = start = size = 0
         ids: list = []

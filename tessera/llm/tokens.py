@@ -14,8 +14,9 @@ from collections.abc import Iterable
 
 import numpy as np
 
-#: Chunks that one worker remembers. Others are encoded again in each batch that has them, which costs time, not rightness.
-MEMO_CHUNKS = 450_000
+#: Chunks that one worker remembers, and places of the filter that lets a chunk in when it is met again, as half of all chunks occur once. Others are
+#: encoded again in each batch that has them, which costs time, not rightness.
+MEMO_CHUNKS, DOOR = 450_000, 1 << 22
 
 #: Marks the first chunk of a text. In a text that holds the character itself, no chunk is cut.
 _FIRST = "\ue000"
@@ -25,7 +26,9 @@ _MARKS = (",", ".")
 _SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: What str.split takes for white space and the library doesn't.
 _NOT_SPACE = "\x1c\x1d\x1e\x1f"
-_RUNS = [" " + c for c in _SPACES] + ["\n" + c for c in _SPACES if c != " "]
+_PLAIN_RUNS = ["  ", " \n", "\n ", "\n\n"]
+_RARE = [c for c in _SPACES if c not in " \n"]
+_RARE_RUNS = [a + c for a in " \n" for c in _RARE]
 
 
 def tokenizer_path(name: str) -> str:
@@ -113,7 +116,8 @@ class Encoder:
     def __init__(self, path: str, dtype: str = "<u4", memo_chunks: int = MEMO_CHUNKS) -> None:
         self.chunks = ChunkEncoder(path, dtype)
         self.tok, self.byte_level = self.chunks.tok, self.chunks.byte_level
-        self.whole_for = _RUNS + [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.whole_for = _PLAIN_RUNS + [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.door = bytearray(DOOR)
         self.dtype, self.memo_chunks = dtype, memo_chunks
         self.line_end = {"\n": self.whole("\n")}
         self.memo: dict[str, bytes] = dict(self.line_end)
@@ -129,8 +133,14 @@ class Encoder:
         """
         if not self.byte_level:
             return chunks_dropping_space(text)
-        if _FIRST in text or text.endswith(" ") or any(s in text for s in self.whole_for):
+        if _FIRST in text or text.endswith(" "):
             return None
+        for s in self.whole_for:
+            if s in text:
+                return None
+        for c in _RARE:
+            if c in text and any(s in text for s in _RARE_RUNS):
+                return None
         chunks: list[str] = []
         for line in text.split("\n"):
             if chunks:
@@ -175,8 +185,14 @@ class Encoder:
             new = self._encode_new(fresh)
             for ids, at, chunk in gaps:
                 ids[at] = new[chunk]
-            if len(self.memo) + len(new) <= self.memo_chunks:
-                self.memo.update(new)
+            if len(self.memo) < self.memo_chunks:
+                door = self.door
+                for chunk, ids in new.items():
+                    at = hash(chunk) & (DOOR - 1)
+                    if door[at]:
+                        self.memo[chunk] = ids
+                    else:
+                        door[at] = 1
             elif len(gaps) > n // 2:  # the texts have changed
                 self.memo.clear()
                 self.memo.update(self.line_end)
@@ -186,9 +202,9 @@ class Encoder:
 _ENCODER: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, dtype: str = "<u4") -> Encoder:
+def encoder(path: str, dtype: str = "<u4", memo_chunks: int = MEMO_CHUNKS) -> Encoder:
     """This worker's encoder: it and what it remembers outlive a task; another file's is forgotten."""
-    if (path, dtype) not in _ENCODER:
+    if (path, dtype, memo_chunks) not in _ENCODER:
         _ENCODER.clear()
-        _ENCODER[path, dtype] = Encoder(path, dtype)
-    return _ENCODER[path, dtype]
+        _ENCODER[path, dtype, memo_chunks] = Encoder(path, dtype, memo_chunks)
+    return _ENCODER[path, dtype, memo_chunks]
