@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,10 +13,13 @@ from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, Str
 from ..functions import text as tf
 from ..functions import truncate as tr
 from ..functions.predicates import where, where_document
-from ..operators import batches, documents, rows, sampling, search
+from ..operators import batches, documents, index, rows, sampling, search
 from ..operators.index import new_documents
-from ..spec import TableSpec
-from . import lifecycle
+from ..sources import files, metadata
+from ..sources.delimited import read_clean, read_rows
+from ..spec import SourceConfig, TableSpec
+from ..tables import keep, shared_dir
+from . import lifecycle, prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -44,11 +49,11 @@ PART = TableSpec(
     ("p_partkey", "p_brand"),
 )
 
-# Nearest neighbours. The queries are the vectors with the smallest ids.
+# Nearest neighbours. The queries are every 50th vector, so their number grows with the table.
 
 
-def _queries(vectors: DataFrame, n: int) -> DataFrame:
-    return vectors.where(F.col("vec_id") < n).select(F.col("vec_id").cast("int").alias("query_idx"), F.col("embedding").alias("query"))
+def _queries(vectors: DataFrame) -> DataFrame:
+    return vectors.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_idx"), F.col("embedding").alias("query"))
 
 
 def _knn(vectors: DataFrame, asked: DataFrame, n: int, metric: str) -> DataFrame:
@@ -60,92 +65,57 @@ _L2 = "list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda x: (x[
 _COS = "1 - list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)) / sqrt(list_sum(list_transform(e.embedding, lambda x: x::DOUBLE * x::DOUBLE)) * list_sum(list_transform(q.embedding, lambda x: x::DOUBLE * x::DOUBLE)))"
 
 
-def _knn_sql(distance: str, queries: int, n: int, condition: str = "true") -> str:
+def _knn_sql(distance: str, n: int, condition: str = "true") -> str:
     return f"""
 SELECT query_idx, rank, vec_id, round(distance, 6) AS distance FROM (
   SELECT query_idx, vec_id, distance, row_number() OVER (PARTITION BY query_idx ORDER BY distance, vec_id)::INT AS rank
-  FROM (SELECT q.vec_id::INT AS query_idx, e.vec_id, {distance} AS distance FROM embeddings e, embeddings q WHERE q.vec_id < {queries} AND {condition})
+  FROM (SELECT q.vec_id AS query_idx, e.vec_id, {distance} AS distance FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0 AND {condition})
 ) WHERE rank <= {n}"""
 
 
-@_query(_knn_sql(_L2, 5, 10))
+@_query(_knn_sql(_L2, 10))
 def knn_topk_l2(spark: SparkSession, sf: str) -> DataFrame:
     v = _t(spark, sf, "embeddings")
-    return _knn(v, _queries(v, 5), 10, "l2")
+    return _knn(v, _queries(v), 10, "l2")
 
 
-@_query(_knn_sql(_L2, 5, 10, "e.label IN (1, 2, 3)"))
+@_query(_knn_sql(_L2, 10, "e.label IN (1, 2, 3)"))
 def knn_filtered(spark: SparkSession, sf: str) -> DataFrame:
     v = _t(spark, sf, "embeddings")
-    return _knn(v.where(where({"label": {"$in": [1, 2, 3]}})), _queries(v, 5), 10, "l2")
+    return _knn(v.where(where({"label": {"$in": [1, 2, 3]}})), _queries(v), 10, "l2")
 
 
-@_query(_knn_sql(_COS, 5, 10))
+@_query(_knn_sql(_COS, 10))
 def knn_cosine(spark: SparkSession, sf: str) -> DataFrame:
     v = _t(spark, sf, "embeddings")
-    return _knn(v, _queries(v, 5), 10, "cosine")
+    return _knn(v, _queries(v), 10, "cosine")
 
 
-@_query(_knn_sql(_L2, 100, 10))
+@_query(_knn_sql(_L2, 100))
 def knn_batch(spark: SparkSession, sf: str) -> DataFrame:
     v = _t(spark, sf, "embeddings")
-    return _knn(v, _queries(v, 100), 10, "l2")
+    return _knn(v, _queries(v), 100, "l2")
 
 
 _MERGE = """
 SELECT query_idx, rank, collection, doc_id, round(distance, 6) AS distance FROM (
   SELECT *, row_number() OVER (PARTITION BY query_idx ORDER BY distance, collection, doc_id)::INT AS rank
-  FROM (SELECT q.vec_id::INT AS query_idx, 'partition_' || lpad((e.vec_id % 4)::VARCHAR, 5, '0') AS collection, e.vec_id::VARCHAR AS doc_id, {} AS distance
-        FROM embeddings e, embeddings q WHERE q.vec_id < 5 AND e.vec_id % 4 IN (0, 2, 3))
+  FROM (SELECT q.vec_id AS query_idx, 'partition_' || lpad((e.vec_id % 4)::VARCHAR, 5, '0') AS collection, e.vec_id::VARCHAR AS doc_id, {} AS distance
+        FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0 AND e.vec_id % 4 IN (0, 2, 3))
 ) WHERE rank <= 10""".format(_L2)
 
 
 def _merged(v: DataFrame, asked: DataFrame) -> DataFrame:
-    index = v.select(tf.partition_name((F.col("vec_id") % 4).cast("int")).alias("collection"), F.col("vec_id").cast("string").alias("doc_id"), "embedding")
+    held = v.select(tf.partition_name((F.col("vec_id") % 4).cast("int")).alias("collection"), F.col("vec_id").cast("string").alias("doc_id"), "embedding")
     routing = search.Routing({"Table": {"collections": ["partition_00000", "partition_00002"]}, "Field": {"collections": ["partition_00002", "partition_00003"]}, "Domain": {"collections": ["partition_00001"]}}, {f"partition_0000{k}": [] for k in range(4)})
-    found = search.query(index, asked, 10, ["Table", "Field"], routing, include=["distance"])
+    found = search.query(held, asked, 10, ["Table", "Field"], routing, include=["distance"])
     return found.withColumn("distance", F.round("distance", 6))
 
 
 @_query(_MERGE)
 def knn_multi_collection_merge(spark: SparkSession, sf: str) -> DataFrame:
     v = _t(spark, sf, "embeddings")
-    return _merged(v, _queries(v, 5))
-
-
-# The same searches for every 50th vector, so that the number of queries grows with the table. Those above keep the few queries that their SQL names.
-
-
-def _each_50th(vectors: DataFrame) -> DataFrame:
-    return vectors.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_idx"), F.col("embedding").alias("query"))
-
-
-def _sql_50th(name: str) -> str:
-    return ORACLES[name].replace("q.vec_id < 5", "q.vec_id % 50 = 0").replace("q.vec_id::INT", "q.vec_id")
-
-
-@_query(_sql_50th("knn_topk_l2"))
-def knn_topk_l2_50th(spark: SparkSession, sf: str) -> DataFrame:
-    v = _t(spark, sf, "embeddings")
-    return _knn(v, _each_50th(v), 10, "l2")
-
-
-@_query(_sql_50th("knn_filtered"))
-def knn_filtered_50th(spark: SparkSession, sf: str) -> DataFrame:
-    v = _t(spark, sf, "embeddings")
-    return _knn(v.where(where({"label": {"$in": [1, 2, 3]}})), _each_50th(v), 10, "l2")
-
-
-@_query(_sql_50th("knn_cosine"))
-def knn_cosine_50th(spark: SparkSession, sf: str) -> DataFrame:
-    v = _t(spark, sf, "embeddings")
-    return _knn(v, _each_50th(v), 10, "cosine")
-
-
-@_query(_sql_50th("knn_multi_collection_merge"))
-def knn_multi_collection_merge_50th(spark: SparkSession, sf: str) -> DataFrame:
-    v = _t(spark, sf, "embeddings")
-    return _merged(v, _each_50th(v))
+    return _merged(v, _queries(v))
 
 
 # Row hygiene
@@ -249,18 +219,40 @@ def truncate_end_words(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "documents").select("doc_id", tr.truncate_end_words(F.col("text"), 50).alias("text"))
 
 
+@_query(
+    "SELECT doc_id, len(regexp_extract_all(text, '\\S+'))::INT AS original_tokens, CASE WHEN len(regexp_extract_all(text, '\\S+')) > 50 THEN '[... truncated ...]' || chr(10) || chr(10) || regexp_extract(text, '\\s*(?:\\S+\\s*){47}$') ELSE text END AS text FROM documents"
+)
+def truncate_start_words(spark: SparkSession, sf: str) -> DataFrame:
+    d = _t(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").alias("document"), F.col("source").alias("model_name"))
+    return documents.limit_tokens(d, 50, "start").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("original_tokens").cast("int").alias("original_tokens"), F.col("document").alias("text"))
+
+
 @_query()
 def truncate_documents(spark: SparkSession, sf: str) -> DataFrame:
     d = _t(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").alias("document"), F.col("source").alias("model_name"))
     return documents.limit_tokens(d, 200, "auto", ["description"])
 
 
-@_query()
+@_query(
+    """
+SELECT doc_id, CASE WHEN octet_length(encode(text)) <= 1000 THEN text ELSE regexp_replace(
+  left(text, list_max(list_filter(range(0, 1001), lambda k: octet_length(encode(left(text, k))) <= 1000))::INT), '[\\s\\x0b\\x1c-\\x1f\\x{85}\\p{Z}]+$', '') END AS text FROM documents"""
+)
 def byte_trim(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "documents").select("doc_id", tf.byte_trim(F.col("text"), 1000).alias("text"))
 
 
-@_query()
+@_query(
+    """
+WITH d AS (SELECT doc_id, text, octet_length(encode(text)) AS bytes, regexp_replace(regexp_replace(text, 'RESET\\s*N\\d+|NEW-PAGE(?:\\s+\\w+)?|\\*{5,}', '', 'g'), '\\s{2,}', ' ', 'g') AS short FROM documents),
+c AS (
+  SELECT doc_id, bytes, bytes > 16384 AS over, text, CASE WHEN octet_length(encode(short)) <= 16384 THEN short ELSE regexp_replace(
+    left(short, list_max(list_filter(range(4096, 16385), lambda k: octet_length(encode(left(short, k))) <= 16384))::INT), '[\\s\\x0b\\x1c-\\x1f\\x{85}\\p{Z}]+$', '') END AS cut,
+    octet_length(encode(short)) > 16384 AS long FROM d
+)
+SELECT doc_id, CASE WHEN over THEN cut ELSE text END AS document, CASE WHEN over THEN bytes END::INT AS original_bytes, coalesce(over AND long, false) AS compaction_fallback,
+       coalesce(over, false) AS compacted, CASE WHEN over THEN octet_length(encode(cut)) END::INT AS compacted_bytes FROM c"""
+)
 def compact_documents(spark: SparkSession, sf: str) -> DataFrame:
     return documents.compact(_t(spark, sf, "documents").select("doc_id", F.col("text").alias("document")))
 
@@ -290,14 +282,8 @@ def where_in_nin(spark: SparkSession, sf: str) -> DataFrame:
     return _labelled(spark, sf).where(where({"lang": {"$in": ["en", "fr"]}, "source": {"$nin": ["src1", "src2"]}})).select("doc_id")
 
 
-@_query(_LABELLED + "n_chars >= 500 AND n_chars < 2000 AND doc_id > 10 AND doc_id <= 800")
-def where_range(spark: SparkSession, sf: str) -> DataFrame:
-    return _labelled(spark, sf).where(where({"n_chars": {"$gte": 500, "$lt": 2000}, "doc_id": {"$gt": 10, "$lte": 800}})).select("doc_id")
-
-
-# The four operators on values only, so over the whole table.
 @_query(_LABELLED + "n_chars >= 500 AND n_chars < 20000 AND n_chars > 600 AND n_chars <= 2000")
-def where_range_values(spark: SparkSession, sf: str) -> DataFrame:
+def where_range(spark: SparkSession, sf: str) -> DataFrame:
     return _labelled(spark, sf).where(where({"$and": [{"n_chars": {"$gte": 500, "$lt": 20000}}, {"n_chars": {"$gt": 600, "$lte": 2000}}]})).select("doc_id")
 
 
@@ -426,12 +412,158 @@ def stale_carryover(spark: SparkSession, sf: str) -> DataFrame:
     return rows.count_by(rows.union_all([carried, d.where(~stale)]), "partition_name", "model_name")
 
 
-@_query()
+@_query("SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY md5('42:' || doc_id), doc_id) AS n FROM documents) WHERE n <= 5")
 def stable_sample(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.stable_sample(_t(spark, sf, "documents").select("source", "doc_id"), 5, ["source"], "doc_id", 42)
 
 
-@_query()
+@_query(
+    """
+WITH RECURSIVE d AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n, coalesce(len(regexp_extract_all(text, '\\S+')), 0) AS x FROM documents
+), s(lang, n, x, row_batch, b, docs, total) AS (
+  SELECT DISTINCT lang, 0::BIGINT, 0::BIGINT, -1::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT FROM d
+  UNION ALL
+  SELECT lang, n, x, b2, CASE WHEN full2 THEN b2 + 1 ELSE b2 END, CASE WHEN full2 THEN 0 ELSE docs2 END, CASE WHEN full2 THEN 0 ELSE total2 END FROM (
+    SELECT *, docs2 >= 128 OR total2 >= 20000 AS full2 FROM (
+      SELECT lang, n, x, CASE WHEN flush THEN b + 1 ELSE b END AS b2, CASE WHEN flush THEN 1 ELSE docs + 1 END AS docs2, CASE WHEN flush THEN x ELSE total + x END AS total2 FROM (
+        SELECT s.lang, d.n, d.x, s.b, s.docs, s.total, s.docs > 0 AND (d.x > 20000 OR s.docs >= 128 OR s.total + d.x > 20000) AS flush FROM s JOIN d ON d.lang = s.lang AND d.n = s.n + 1)))
+)
+SELECT lang AS model_name, 0 AS lane, row_batch AS batch_id, count(*) AS documents, sum(x)::BIGINT AS tokens FROM s WHERE n > 0 GROUP BY lang, row_batch"""
+)
 def batch_packing(spark: SparkSession, sf: str) -> DataFrame:
     d = _t(spark, sf, "documents").select("doc_id", F.col("lang").alias("model_name"), tf.token_count(F.col("text")).alias("tokens"))
     return batches.batch_totals(batches.pack_batches(d, "doc_id", limit=20_000))
+
+
+# Files: what is read was written from the tables, into the shared folder.
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
+    keep(spark, path)
+    return path
+
+
+def _lines(spark: SparkSession, lines: DataFrame, header: str, name: str) -> str:
+    """Lines (n, value) as files with one header before all, and the template of their names."""
+    path = _folder(spark, name)
+    first = spark.createDataFrame([(-1, header)], "n long, value string")
+    first.unionByName(lines.select("n", "value")).repartitionByRange(8, "n").sortWithinPartitions("n").select("value").write.text(path)
+    parts = [f for f in files.listing(spark, path) if f.startswith("part-")]
+    return f"{path}/part-<int>{re.sub('^part-[0-9]+', '', parts[0])}"
+
+
+@_query("SELECT c_custkey::VARCHAR AS id, c_name || ',' || c_name AS name, c_mktsegment AS segment FROM customer")
+def rows_with_surplus_cells(spark: SparkSession, sf: str) -> DataFrame:
+    c = _t(spark, sf, "customer").select(F.col("c_custkey").alias("n"), F.concat_ws(",", F.col("c_custkey").cast("string"), "c_name", "c_name", "c_mktsegment").alias("value"))
+    return read_rows(spark, SourceConfig(_lines(spark, c, "id,name,segment", "surplus"), malformed_column=2, header_row="first-only"))[0].select("id", "name", "segment")
+
+
+@_query("SELECT s_suppkey::VARCHAR AS id, s_name || chr(10) || 'goes on' AS name, s_nationkey::VARCHAR AS nation FROM supplier")
+def rows_over_two_lines(spark: SparkSession, sf: str) -> DataFrame:
+    s = _t(spark, sf, "supplier").select(F.col("s_suppkey").alias("n"), F.concat_ws(",", F.col("s_suppkey").cast("string"), "s_name").alias("a"), F.concat(F.lit("goes on,"), F.col("s_nationkey").cast("string")).alias("b"))
+    lines = s.select("n", F.concat("a", F.lit("\n"), "b").alias("value"))
+    # One file a supplier range: a row and what goes on are in one file.
+    return read_rows(spark, SourceConfig(_lines(spark, lines, "id,name,nation", "stitched"), malformed_column=2, header_row="first-only"))[0].select("id", "name", "nation")
+
+
+@_query("SELECT p_size % 7 = 0 AS rejected, count(*) AS rows, sum(p_partkey)::BIGINT AS keys FROM part GROUP BY 1")
+def rejected_rows(spark: SparkSession, sf: str) -> DataFrame:
+    quoted = F.concat(F.lit('"'), "p_name", F.lit(', ""x"""'))
+    p = _t(spark, sf, "part").select(F.col("p_partkey").alias("n"), F.when(F.col("p_size") % 7 == 0, F.concat_ws(",", F.col("p_partkey").cast("string"), quoted, "p_brand", F.lit("more"))).otherwise(F.concat_ws(",", F.col("p_partkey").cast("string"), quoted, "p_brand")).alias("value"))
+    good, bad = read_rows(spark, SourceConfig(_lines(spark, p, "id,name,brand", "rejects"), header_row="first-only"))
+    kept = good.where(F.col("name").endswith(', "x"')).select(F.lit(False).alias("rejected"), F.col("id").cast("long").alias("k"))
+    both = kept.unionByName(bad.select(F.lit(True).alias("rejected"), F.col("_cells")[0].cast("long").alias("k")))
+    return both.groupBy("rejected").agg(F.count(F.lit(1)).alias("rows"), F.sum("k").alias("keys"))
+
+
+@_query("SELECT s_suppkey::VARCHAR AS id, s_name AS name FROM supplier")
+def clean_rows(spark: SparkSession, sf: str) -> DataFrame:
+    path = _folder(spark, "clean")
+    _t(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("  "), "s_name", F.lit(" ")).alias("name")).write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return read_clean(spark, path)
+
+
+@_query("SELECT o_orderpriority AS model, count(DISTINCT strftime(o_orderdate, '%Y-%m')) AS partitions, count(*) AS rows FROM orders GROUP BY 1")
+def manifest_models(spark: SparkSession, sf: str) -> DataFrame:
+    path, entries = f"{_folder(spark, 'manifest')}/manifest.json", {}
+    for r in _manifest(spark, sf).collect():  # one row a month and priority
+        entries.setdefault(r["partition"], {"name": r["partition"], "created_at": r["created_at"], "models": {}})["models"][r["model"]] = {"rows": r["rows"], "schema_version": 1}
+    files.write_json(spark, path, {"version": 1, "partitions": list(entries.values())})
+    return lifecycle.drop_impact(metadata.manifest_models(spark, metadata.load_manifest(spark, path)))
+
+
+def _written_states(spark: SparkSession, sf: str) -> str:
+    path, by = _folder(spark, "states"), {}
+    for r in _states(spark, sf).collect():  # one row a collection and source
+        by.setdefault(r["collection"], {})[r["model"]] = {"started": True, "complete": True, "collection_count": r["collection_count"], "documents_indexed": r["collection_count"], "row_index": r["collection_count"]}
+    for collection, states in by.items():
+        prepare.write_state(spark, path, collection, collection, states)
+    return path
+
+
+@_query("SELECT 'collection_' || (doc_id % 5) AS collection, source AS model, count(*) AS documents FROM documents GROUP BY ALL")
+def state_files(spark: SparkSession, sf: str) -> DataFrame:
+    states = metadata.model_states(metadata.state_files(spark, _written_states(spark, sf)))
+    return states.where("complete AND started").select("collection", "model", F.col("collection_count").alias("documents"))
+
+
+@_query("SELECT 5 AS total_collections, count(DISTINCT source) AS total_models, count(*) AS documents FROM documents")
+def routing_totals(spark: SparkSession, sf: str) -> DataFrame:
+    out = lifecycle.routing(spark, _written_states(spark, sf))
+    rows = [(out["metadata"]["total_collections"], out["metadata"]["total_models"], sum(m["total_documents"] for m in out["model_to_collections"].values()))]
+    return spark.createDataFrame(rows, "total_collections int, total_models long, documents long")
+
+
+@_query("SELECT lang AS partition, 'M' AS model, 'ValueError' AS exception_type, max(doc_id) AS max_row FROM documents WHERE n_chars > 5000 GROUP BY lang")
+def error_reports(spark: SparkSession, sf: str) -> DataFrame:
+    path = _folder(spark, "errors")
+    worst = _t(spark, sf, "documents").where("n_chars > 5000").groupBy("lang").agg(F.max("doc_id").alias("row"))
+    for r in worst.collect():  # one row a language
+        prepare.write_error_report(spark, path, r["lang"], "M", "too long", [{"row_index": r["row"]}], ValueError("too long"))
+    return metadata.error_reports(spark, path).select("partition", "model", "exception_type", "max_row")
+
+
+CUSTOMER = TableSpec.of_strings("Customer", ["id", "name"], ["segment"], semantic_fields=("name", "segment"), keyword_fields=("segment",))
+
+
+def _prepared(spark: SparkSession, sf: str, name: str) -> str:
+    """Customers as delimited files, some of them twice, prepared into partitions of 400 rows."""
+    root = _folder(spark, name)
+    c = _t(spark, sf, "customer").select(F.col("c_custkey").alias("n"), F.concat_ws(",", F.col("c_custkey").cast("string"), "c_name", F.when(F.col("c_custkey") % 10 == 0, "NA").otherwise(F.col("c_mktsegment"))).alias("value"))
+    lines = c.unionByName(c.where("n % 3 = 0").withColumn("n", F.col("n") + (1 << 40)))
+    config = SourceConfig(_lines(spark, lines, "key,name,segment", f"{name}-lines"), {"id": "key", "name": "name", "segment": "segment"}, header_row="first-only", drop_na_columns=("segment",))
+    prepare.run(spark, {"Customer": config}, {"Customer": CUSTOMER}, root, 400)
+    return root
+
+
+@_query("SELECT 'partition_' || lpad((floor(n / 400) + 1)::INT::VARCHAR, 5, '0') AS partition_name, count(*) AS rows, min(k)::VARCHAR AS first FROM (SELECT c_custkey AS k, row_number() OVER (ORDER BY c_custkey) - 1 AS n FROM customer WHERE c_custkey % 10 <> 0) GROUP BY 1")
+def prepared_partitions(spark: SparkSession, sf: str) -> DataFrame:
+    held = spark.read.parquet(f"{_prepared(spark, sf, 'prepared')}/{prepare.DATA}")
+    return held.groupBy("partition_name").agg(F.count(F.lit(1)).alias("rows"), F.min(F.col("id").cast("long")).cast("string").alias("first"))
+
+
+@_query("SELECT 'pre_partition_' || lpad((floor(n / 400) + 1)::INT::VARCHAR, 5, '0') AS collection, 'Customer' AS model_name, count(*) AS documents FROM (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS n, c_mktsegment FROM customer WHERE c_custkey % 10 <> 0) WHERE c_mktsegment <> 'BUILDING' GROUP BY 1")
+def indexed_and_deleted(spark: SparkSession, sf: str) -> DataFrame:
+    """Prepared, indexed, and without the documents of one segment, which were deleted."""
+    root, at = _prepared(spark, sf, "to-index"), _folder(spark, "index")
+    prepare.index_partitions(spark, f"{root}/manifest.json", root, {"Customer": CUSTOMER}, at, prefix="pre")
+    index.delete(spark, at, {"segment": "BUILDING"})
+    return prepare.index_counts(spark, at)
+
+
+@_query("SELECT doc_id, format('{:,}', n_chars) AS chars, left(text, 200) AS preview FROM documents")
+def formats(spark: SparkSession, sf: str) -> DataFrame:
+    return _t(spark, sf, "documents").select("doc_id", tf.thousands(F.col("n_chars")).alias("chars"), tf.preview(F.col("text")).alias("preview"))
+
+
+@_query("SELECT item_id FROM benchmark WHERE item_id IN (SELECT doc_id FROM documents)")
+def get_by_listed_ids(spark: SparkSession, sf: str) -> DataFrame:
+    ids = _t(spark, sf, "documents").select(F.col("doc_id").alias("i"))
+    return search.get(_t(spark, sf, "benchmark"), ids, include=[], id="item_id")
+
+
+@_query("SELECT o_orderkey, try_cast(o_orderpriority[1] AS BIGINT) AS level FROM orders")
+def whole_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    return _t(spark, sf, "orders").select("o_orderkey", tf.int_or_null(F.substring("o_orderpriority", 1, 1)).alias("level"))

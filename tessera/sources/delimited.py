@@ -1,9 +1,10 @@
 """Delimited files whose rows may be broken.
 
 Files for which a column is named as malformed need repair: a row with too many cells has the surplus joined into that column
-again, a row with too few takes in the physical rows that follow it. Each file is one ``binaryFile`` value, of 2 GB at most. ``read_clean``
-takes Spark's own reader, without row numbers and rejects. Taking in depends on what earlier rows
-took, so each file is one sequential task, streamed in batches; files are read in parallel.
+again, a row with too few takes in the physical rows that follow it. Taking in depends on what earlier rows
+took, and a quoted cell can hold line ends, so a file's lines go through one task, in order and in batches: they are read in splits, dealt by file and
+sorted by their place, which spills where a file is large. Files are read in parallel, all in one scan. ``read_clean``
+takes Spark's own reader, without row numbers and rejects.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import csv
 import io
 from collections.abc import Iterator, Sequence
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from ..spec import SourceConfig
-from .files import discover
+from .files import _fs, discover
 
 #: Where a row came from: the file's place in the order, and the row's number in it.
 FILE, ROW = "_file", "_row"
@@ -72,30 +74,40 @@ def _repaired(spark: SparkSession, paths: list[str], header: list[str], c: Sourc
     width, single = len(header), len(c.delimiter) == 1
     schema = pa.schema([(FILE, pa.int32()), (ROW, pa.int64()), ("_ok", pa.bool_()), ("_cells", pa.list_(pa.string()))])
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str]]:
         for batch in batches:
-            for order, content in zip(batch.column("_order").to_pylist(), batch.column("content"), strict=True):
-                lines = io.TextIOWrapper(pa.BufferReader(content.as_buffer()), encoding=c.character_encoding, errors="replace", newline="")
-                if single:
-                    physical = enumerate(csv.reader(lines, delimiter=c.delimiter))
+            for order, raw in zip(batch.column("_order").to_pylist(), batch.column("value").to_pylist(), strict=True):
+                value = raw.decode(c.character_encoding, "replace")
+                if "\r" in value[:-1]:  # a line end of its own
+                    yield from ((order, line) for line in io.StringIO(f"{value}\n", newline=""))
                 else:
-                    physical = ((n, line.rstrip("\r\n").split(c.delimiter)) for n, line in enumerate(lines))
-                physical = ((n, [x.strip() for x in cells]) for n, cells in physical)
-                if c.header_row == "all" or order == 0:
-                    next(physical, None)
-                out: list[tuple] = []
-                for n, cells, ok in logical_rows(physical, width, c.malformed_column, c.delimiter):
-                    out.append((order, n, ok, cells))
-                    if len(out) == _BATCH:
-                        yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in out], schema=schema)
-                        out = []
-                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in out], schema=schema)
-
-    files = None
-    for order, path in enumerate(paths):
-        one = spark.read.format("binaryFile").load(path).select(F.lit(order).alias("_order"), "content")
-        files = one if files is None else files.unionByName(one)
-    return files.mapInArrow(parse, f"{FILE} int, {ROW} long, _ok boolean, _cells array<string>")
+                    yield order, f"{value}\n"
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for order, own in groupby(lines(batches), key=lambda x: x[0]):
+            own = (line.removeprefix("\ufeff") if k == 0 else line for k, (_, line) in enumerate(own))
+            if single:
+                physical = enumerate(csv.reader(own, delimiter=c.delimiter))
+            else:
+                physical = ((n, line.rstrip("\r\n").split(c.delimiter)) for n, line in enumerate(own))
+            physical = ((n, [x.strip() for x in cells]) for n, cells in physical)
+            if c.header_row == "all" or order == 0:
+                next(physical, None)
+            out: list[tuple] = []
+            for n, cells, ok in logical_rows(physical, width, c.malformed_column, c.delimiter):
+                out.append((order, n, ok, cells))
+                if len(out) == _BATCH:
+                    yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in out], schema=schema)
+                    out = []
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in out], schema=schema)
+
+    # Files of a source are in one directory, so their names, plain or as in a URI, tell them apart.
+    names = {n: k for k, path in enumerate(paths) for n in (path.rpartition("/")[2], _fs(spark, path)[1].toUri().getRawPath().rpartition("/")[2])}
+    order = spark.createDataFrame(list(names.items()), "name string, _order int")
+    scan = spark.read.option("lineSep", "\n").option("encoding", c.character_encoding).text(paths)
+    placed = scan.select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"))
+    dealt = placed.join(F.broadcast(order), "name").repartition("_order").sortWithinPartitions("_order", "_start", "_at")
+    return dealt.select("_order", "value").mapInArrow(parse, f"{FILE} int, {ROW} long, _ok boolean, _cells array<string>")
 
 
 def read_rows(spark: SparkSession, c: SourceConfig) -> tuple[DataFrame, DataFrame]:

@@ -60,6 +60,24 @@ def test_quotes_bom_encoding_and_headers(spark, tmp_path):
     assert delimited.read_rows(spark, SourceConfig(empty))[0].count() == 0
 
 
+def test_large_and_many_files(spark, tmp_path):
+    """Quoted line ends and rows that go on across the splits of a file, and files that are one plan however many they are."""
+    text = "id,txt,z\n" + "".join(f'{k},"a\n{k}",x\r\n' if k % 3 else f"{k},b\nc,x\n" for k in range(3000))
+    path = write(tmp_path / "one" / "a.csv", text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        good, bad = delimited.read_rows(spark, SourceConfig(path, malformed_column=2))
+        assert cells(good) == [(str(k), f"a\n{k}" if k % 3 else "b\nc", "x") for k in range(3000)] and bad.count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    for k in range(60):
+        write(tmp_path / "many" / f"p {k}.csv", f"id,t\n{k},é\r{k}b,x\r".encode("latin-1"), None)
+    rows, _ = delimited.read_rows(spark, SourceConfig(f"{tmp_path}/many/p <int>.csv", character_encoding="iso-8859-1"))
+    assert cells(rows) == [r for k in range(60) for r in ((str(k), "é"), (f"{k}b", "x"))]
+    assert "Union" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
 def test_repair_expression_is_the_list_function(spark):
     rows = [[str(k) for k in range(n)] for n in range(1, 7)]
     df = spark.createDataFrame([(k, r) for k, r in enumerate(rows)], "k int, v array<string>")
