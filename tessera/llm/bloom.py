@@ -1,7 +1,7 @@
 """A Bloom filter built by segments and broadcast, of a bounded size.
 
-Each hash sets its bits within one segment, and a segment is built by one task from at most two copies of a hash
-per task that read it: so building shuffles 24 bytes a row at most, and a hot hash is no more than that. Two-bit counters tell bits
+Each hash sets its bits within one segment, and a segment is built by one task from one row, with a count of two at most, for each hash and
+Arrow batch that has it: so building shuffles 24 bytes a row at most, and a hot hash is one row a batch. Two-bit counters tell bits
 that one row set from those that several did.
 """
 
@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame
 
 from .common import partitions_for
 
-#: Bits for each row, and the largest size in bits: 32 MB are broadcast at most. Beyond that the filter only
-#: gets less selective: more rows pass it, and results stay the same.
+#: Bits for each row, and the largest size in bits: 32 MB are broadcast at most. Beyond that a filter only
+#: gets less selective: more rows pass it, and results stay the same. What needs it sharp at any size takes one filter for each of :func:`parts` parts of the hashes.
 BITS_PER_ROW, MOST_BITS = 16, 1 << 28
 HASHES = 4
 
@@ -33,6 +33,11 @@ def segment_of(hashes: np.ndarray, segments: int) -> np.ndarray:
     return ((hashes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40)).astype(np.int64) % segments
 
 
+def parts(rows: int) -> int:
+    """Parts into which ``rows`` hashes are divided so that each has a filter with all its bits."""
+    return max(1, -(-rows * BITS_PER_ROW // MOST_BITS))
+
+
 def build_filter(hashes: DataFrame, rows: int, least: int) -> np.ndarray:
     """Bits that at least ``least`` (1 or 2) of ``rows`` hashes set, shape (segments, segment_bits / 8); ``hashes`` has one column."""
     bits = min(MOST_BITS, max(1 << 13, BITS_PER_ROW * rows))

@@ -293,7 +293,7 @@ def _between_blocks(full: DataFrame, leaders: DataFrame, within: DataFrame, leas
     pairs = leaders.join(named.select(F.col("rep").alias("b")), "b", "left_semi")
     bags = full.select(F.col("rep").alias("doc_id"), "bag")
     across = _links(pairs, bags, least)
-    component = materialize(connected_components(within.unionByName(across)).withColumnRenamed("node", "rep"), "found").df
+    component = connected_components(within.unionByName(across)).withColumnRenamed("node", "rep")
     grouped = materialize(full.select("rep", "bands", "bag").join(component, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "grouped")
     places = materialize(grouped.df.select("rep", "component", F.explode("bands").alias("bucket")), "places")
     # Buckets that still hold several groups; of buckets with the same members, one.
@@ -355,7 +355,8 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     placed = join_groups(family.df, sizes.df, ["family"], "size", total).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     full = materialize(placed.join(reps.df, "rep").join(bags, ["doc_id", "words"]).select("family", "block", "rep", "bands", "bag", "blocks"), "full")
     met = full.df.select("family", "block", "rep", "bands", "bag").repartition("family", "block").sortWithinPartitions("family", "block", "rep")
-    links = materialize(met.mapInArrow(_within(least), "a long, b long"), "links").df
+    met_links = materialize(met.mapInArrow(_within(least), "a long, b long"), "links")
+    links = met_links.df
     large = full.df.where("blocks > 1")
     if not large.isEmpty():
         links = links.unionByName(_between_blocks(large, leaders.df, links, least))
@@ -364,6 +365,8 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     several = placed.df.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("doc_id", "a")
     links = links.unionByName(placed.df.join(several, "doc_id").where("a <> rep").select("a", F.col("rep").alias("b")))
     component = connected_components(links).withColumnRenamed("node", "rep")
+    for table in (signed, reps, leaders, family, sizes, full, met_links):
+        table.drop()
     named = placed.df.groupBy("doc_id").agg(F.min("rep").alias("rep")).join(component, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
     if hashed:  # a component goes by its smallest id
         named = materialize(named, "components").df

@@ -3,7 +3,8 @@
 Folding lower-cases, maps homoglyphs to Latin letters, drops invisible characters, reads digits and signs
 between letters as the letters they stand for, and makes one letter of i and l, as 1 stands for both. The lexicon
 holds whole words and beginnings of words with a weight: the smoothed log-odds of toxic against other labelled
-documents. A word of a document counts with the largest weight that matches it, unless it lies within an exception phrase.
+documents. A word of a document counts with the largest weight that matches it, unless it lies within an exception phrase: one that is given, or one
+that labelled documents show to be harmless.
 The sum is normalised by length, and a logistic model of a handful of such sums gives the score.
 
 Lexicon and model are fitted on the labelled rows with the smallest hashes of their ids, at most ``FIT_DOCS``; scoring reads
@@ -33,6 +34,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 FIT_DOCS, CANDIDATES, ENTRIES = 20_000, 50_000, 2_000
 #: Toxic documents that an entry needs, and the least log-odds, one standard error below the estimate.
 LEAST_TOXIC, LEAST_WEIGHT = 5, 1.5
+#: A phrase of a lexicon word and the word before or after it is an exception if it is in this many other documents and in no toxic one; so many exceptions at most.
+LEAST_OTHER, MOST_EXCEPTIONS = 5, 1_000
 #: Letters of a beginning of a word.
 SHORTEST, LONGEST = 3, 8
 THRESHOLD = 0.3
@@ -48,7 +51,7 @@ _INVISIBLE = "­​‌‍⁠﻿"
 # Digits and signs, and the letters they stand for.
 _STANDS_FOR = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "i"}
 
-#: Phrases in which a word of the lexicon is harmless.
+#: Phrases in which a word of the lexicon is harmless, besides those that are learned.
 EXCEPTIONS = ("trash can", "trash cans", "trash bin", "trash bag", "clown fish", "class clown", "sore loser", "pond scum", "scum line")
 
 _table = str.maketrans(_HOMOGLYPHS | dict.fromkeys(_INVISIBLE) | {chr(0xFF01 + k): chr(0x21 + k) for k in range(94)})
@@ -161,6 +164,28 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
 
+def _harmless(rows: DataFrame, weights: dict[str, float]) -> list[str]:
+    """Phrases of a lexicon word and a neighbour that several other documents have and no toxic one."""
+    shared = rows.sparkSession.sparkContext.broadcast(weights)
+
+    def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, matched = (Counter(), Counter()), {}
+        for text, toxic in _each(batches):
+            words, own = fold(text), set()
+            for i, word in enumerate(words):
+                if word not in matched:
+                    matched[word] = f"{word} " in shared.value or any(b in shared.value for b in beginnings(word))
+                if matched[word]:
+                    own.update(" ".join(words[a : a + 2]) for a in (i - 1, i) if 0 <= a < len(words) - 1)
+            seen[int(toxic == 1)].update(own)
+        names = list(set(seen[0]) | set(seen[1]))
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([seen[k][n] for n in names], pa.int64()) for k in (1, 0))], names=["phrase", "toxic", "other"])
+
+    counted = rows.mapInArrow(phrases, "phrase string, toxic long, other long").groupBy("phrase").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    found = counted.where((F.col("toxic") == 0) & (F.col("other") >= LEAST_OTHER)).orderBy(F.desc("other"), "phrase").limit(MOST_EXCEPTIONS)
+    return [r["phrase"] for r in found.collect()]
+
+
 def fit(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS, fit_docs: int = FIT_DOCS) -> Model:
     """Learn lexicon and model from ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``; all that comes to the driver is bounded."""
     taught = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
@@ -194,6 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = EXCEPT
     model = Model(choose(counts, n_toxic, n_other), exceptions)
     if not n_toxic or not n_other:
         return model
+    model.exceptions = (*exceptions, *_harmless(rows, model.weights))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def document_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessera.llm import near_dedup, queries
+from tessera.llm import bloom, near_dedup, queries
 from tessera.llm.bloom import build_filter, may_hold
 from tessera.llm.components import connected_components
 from tessera.llm.embedding_dedup import Codebooks, near_embeddings, unit_vectors
@@ -279,7 +279,9 @@ def test_line_dedup_edges(spark):
     assert dedup_lines(df.limit(0)).count() == 0 and later_copies(df.limit(0)).count() == 0
 
 
-def test_exact_duplicates(spark):
+@pytest.mark.parametrize("bits", [1 << 28, 1 << 13])
+def test_exact_duplicates(spark, monkeypatch, bits):
+    monkeypatch.setattr(bloom, "MOST_BITS", bits)
     rows = [(k, t) for k, t in enumerate(["A b", "a B", "ä", "Ä", "", None, "x", "a b "])] + [(100 + k, "Hot") for k in range(1500)] + [(None, "ä"), (None, "only"), (7, "a b "), (7, "a b ")]
     df = spark.createDataFrame([(d, t, "q") for d, t in rows], "doc_id long, text string, h string").repartition(4)
     lower = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -181,6 +182,40 @@ def test_toxicity(spark):
     assert score_toxicity(df.limit(0), lf).count() == 0
 
 
+def test_harmless_phrases_are_learned(spark):
+    rnd = random.Random(3)
+    rows, labels = [], []
+    for k in range(900):
+        text = [f"w{rnd.randrange(60)}" for _ in range(30)]
+        if k % 4 == 0:
+            text[rnd.randrange(30)] = "vexuda"
+        elif k % 30 == 1:
+            text[10:12] = ["vexuda", "tree"]
+        rows.append((k, " ".join(text)))
+        labels.append((k, int(k % 4 == 0)))
+    df, lf = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = fit(df, lf, ())
+    assert model.exceptions == ("vexuda tree",)
+    out = {r.doc_id: r.predicted for r in score_toxicity(df, lf).collect()}
+    assert all(out[k] == t for k, t in labels)
+
+
+def test_toxicity_of_held_out_documents(spark):
+    """Of labelled documents that taught nothing, nine in ten toxic ones are found, and hardly any other."""
+    at = SF.replace("0.001", "0.1")
+    labels = spark.read.parquet(f"{at}/labels.parquet")
+    out = score_toxicity(spark.read.parquet(f"{at}/documents.parquet"), labels).where("held_out").join(labels, "doc_id")
+    n = {(r.toxic, r.predicted): r["count"] for r in out.groupBy("toxic", "predicted").count().collect()}
+    assert n[1, 1] >= 0.9 * (n[1, 1] + n.get((1, 0), 0)) and n.get((0, 1), 0) <= 0.02 * n[0, 0]
+
+
+def test_toxicity_of_a_very_long_text(spark):
+    rows, labels = toxic_corpus()
+    rows += [(9000, "ba " * 400_000), (9001, "ba " * 200_000 + "clown vexulan vexudor " * 20_000)]
+    out = {r.doc_id: r.predicted for r in score_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).where("doc_id >= 9000").collect()}
+    assert out == {9000: 0, 9001: 1}
+
+
 def test_scores_keep_all_columns(spark):
     df = spark.createDataFrame([(1, "x", "s", 2)], "doc_id long, text string, score string, row int")
     assert score_rows(df, Model({})).first() == (("1" and 1, "x", "s", 2), 0.0)
@@ -276,6 +311,35 @@ def test_pipeline(spark):
     assert {r.doc_id for r in corpus_pipeline.run(spark, SF).select("doc_id").collect()} == ids[-1]
 
 
+def test_pipeline_against_brute_force(spark):
+    """Each stage by its definition, on the documents of the smallest table."""
+    from test_dedup_llm import Sets, brute_lines
+
+    from tessera.llm.near_dedup import multiset, shingles, similarity
+    from tessera.llm.tokens import load_tokenizer, tokenizer_path
+
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    model = corpus_pipeline.fit_held_in(docs, labels)
+    matcher = model.matcher()
+    clean = {d: t for d, t in texts.items() if model.score(model.sums(matcher, fold(t))) < 0.3}
+    cut = {d: t for d, t in brute_lines(list(clean.items()), 50).items() if t.split() or not clean[d].split()}
+    bags = [(d, multiset(h)) for d, t in sorted(cut.items()) if len(h := shingles(t)[1])]
+    sets = Sets()
+    for i, (a, x) in enumerate(bags):
+        for b, y in bags[:i]:
+            if similarity(x, y) >= 0.8:
+                sets.join(a, b)
+    tok = load_tokenizer(tokenizer_path("word_bpe_49k.json"))
+    expected = {d: [*tok.encode(t, add_special_tokens=False).ids, 2] for d, t in cut.items() if sets.find(d) == d}
+    assert 0 < len(texts) - len(clean) and len(expected) < len(cut)
+    got: dict = {}
+    for r in corpus_pipeline.run(spark, SF).orderBy("doc_id", "start").collect():
+        assert r.start == len(got.setdefault(r.doc_id, []))
+        got[r.doc_id] += np.frombuffer(r.ids, "<u4").tolist()
+    assert got == expected
+
+
 def test_held_out(spark):
     df = spark.range(50).select("id", held_out(F.col("id")).alias("h"))
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 4 == 2) for r in df.collect())
