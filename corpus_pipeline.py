@@ -48,7 +48,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}").df
+        written = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before:
+            before.drop()
+        docs, before = written.df, written
     return STAGES[-1][1](spark, docs, sf_dir)
