@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,14 +18,16 @@ _KEPT: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as
-    in tests on one machine, a temporary folder is made and set as checkpoint folder.
+    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset and all tasks run on this machine, as
+    in tests, a temporary folder is made and set as checkpoint folder; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jvm_dir.isDefined():
             found = jvm_dir.get()
+        elif not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         else:
             found = tempfile.mkdtemp(prefix="tessera-")
             spark.sparkContext.setCheckpointDir(found)
@@ -54,7 +57,10 @@ def keep(spark: SparkSession, path: str) -> None:
 
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """Arrow batches of few rows while something is written: texts of thousands of documents at once would double an executor's memory."""
+    """Arrow batches of few rows while something is written: texts of thousands of documents at once would double an executor's memory.
+
+    It is a setting of the session. Other queries that run meanwhile get smaller batches too, which changes no result.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
     spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
@@ -76,8 +82,8 @@ class Materialized:
         _KEPT[:] = [x for x in _KEPT if x[1] != self.path]
 
 
-def materialize(df: DataFrame, name: str) -> Materialized:
-    """Write a frame once as Parquet in the shared folder and read it back.
+def materialize(df: DataFrame, name: str, part: str | None = None) -> Materialized:
+    """Write a frame once as Parquet in the shared folder, in a directory for each value of ``part`` if that is given, and read it back.
 
     This cuts lineage as checkpoint() does, without computing the frame twice,
     and survives the loss of any executor.
@@ -85,6 +91,7 @@ def materialize(df: DataFrame, name: str) -> Materialized:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
     with small_batches(spark):
-        df.write.option("compression", "zstd").parquet(path)
+        writer = df.write.option("compression", "zstd")
+        (writer.partitionBy(part) if part else writer).parquet(path)
     keep(spark, path)
     return Materialized(spark, path, df.schema)
