@@ -129,9 +129,10 @@ def embed(documents: DataFrame, function: EmbeddingFunction, text: str = "docume
 
 def open_index(spark: SparkSession, path: str) -> DataFrame | None:
     """The documents of an index, None if it has none yet."""
-    if not files.exists(spark, path) or not any(d.startswith("collection=") for d in files.listing(spark, path, directories=True)):
+    if not files.exists(spark, path):
         return None
-    return spark.read.parquet(path)
+    held = (d for d in files.listing(spark, path, directories=True) if d.startswith("collection="))
+    return spark.read.parquet(path) if any(files.listing(spark, f"{path}/{d}", directories=True) for d in held) else None
 
 
 def recover(spark: SparkSession, path: str) -> None:

@@ -6,19 +6,25 @@ asking each collection and merging would.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+import logging
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.predicates import metadata_column, where, where_document
 from ..functions.vectors import METRICS
+from ..sources import files
+
+log = logging.getLogger("tessera")
 
 #: Query vectors that are sent to every task at a time, about; rows of one scan and queries compared at a time.
 MOST_QUERIES, _ROWS, _ASKED = 100_000, 4096, 256
@@ -207,10 +213,10 @@ def model_stats(index: DataFrame, model: str = "model_name") -> DataFrame:
     return index.groupBy(F.nullif(F.col(model), F.lit("")).alias(model)).agg(F.count(F.lit(1)).alias("documents"))
 
 
-def as_lists(found: DataFrame, n_queries: int) -> dict[str, list[list[Any]]]:
-    """The result of a query as parallel lists, one a query: a bounded number of rows for the caller of an API."""
+def as_lists(found: Sequence[Row], n_queries: int) -> dict[str, list[list[Any]]]:
+    """The rows of a query as parallel lists, one a query: a bounded number of rows for the caller of an API."""
     out: dict[str, list[list[Any]]] = {k: [[] for _ in range(n_queries)] for k in ("ids", "documents", "metadatas", "distances")}
-    for r in sorted(found.collect(), key=lambda r: (r["query_idx"], r["rank"])):
+    for r in found:
         row = r.asDict()
         out["ids"][r["query_idx"]].append(row["doc_id"])
         out["documents"][r["query_idx"]].append(row.get("document") or "")
@@ -248,8 +254,30 @@ class Client:
             raise RuntimeError("the client is not connected")
         return self.index
 
-    def query(self, query_texts: Sequence[str] | None = None, query_embeddings: Sequence[Sequence[float]] | None = None, n_results: int = 10, **kwargs) -> dict[str, list[list[Any]]]:
+    def _rows(self, plan: Callable[[DataFrame], DataFrame], models: Sequence[str] | None = None) -> list[Row]:
+        """The rows of a plan over all collections. If that fails, those of the plan over each collection, without collections that fail alone too."""
         index = self._open()
+        try:
+            return plan(index).collect()
+        except (PySparkException, Py4JError) as e:
+            log.error("asking each collection by itself: %s", str(e)[:500])
+            unescape = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+            held = [unescape(d.removeprefix("collection=")) for d in files.listing(self.spark, self.path, directories=True) if d.startswith("collection=")]
+            rows, failed = [], []
+            for collection in held:
+                if self.routing is not None and collection not in self.routing.collections(models):
+                    continue
+                try:
+                    rows += plan(index.where(F.col("collection") == collection)).collect()
+                except (PySparkException, Py4JError) as own:
+                    log.error("collection %s failed: %s", collection, str(own)[:500])
+                    failed.append(collection)
+            if len(failed) == len(held):
+                raise
+            return rows
+
+    def query(self, query_texts: Sequence[str] | None = None, query_embeddings: Sequence[Sequence[float]] | None = None, n_results: int = 10, **kwargs) -> dict[str, list[list[Any]]]:
+        self._open()
         if query_embeddings is None:
             if not query_texts:
                 raise ValueError("give texts or embeddings to look for")
@@ -260,10 +288,17 @@ class Client:
         if not vectors:
             raise ValueError("give texts or embeddings to look for")
         queries = self.spark.createDataFrame(vectors, "query_idx int, query array<double>")
-        return as_lists(query(index, queries, n_results, routing=self.routing, **kwargs), len(vectors))
+        found = self._rows(lambda index: query(index, queries, n_results, routing=self.routing, **{**kwargs, "include": (*kwargs.get("include", INCLUDE_QUERY), "distance")}), kwargs.get("models"))
+        best: list[Row] = []
+        taken = [0] * len(vectors)
+        for r in sorted(found, key=lambda r: (r["query_idx"], r["distance"], r["collection"], r["rank"])):
+            if taken[r["query_idx"]] < n_results:
+                taken[r["query_idx"]] += 1
+                best.append(r)
+        return as_lists(best, len(vectors))
 
     def get(self, **kwargs) -> DataFrame:
         return get(self._open(), routing=self.routing, **kwargs)
 
     def count(self, models: Sequence[str] | None = None, where: Mapping[str, Any] | None = None) -> int:
-        return count(self._open(), models, self.routing, where).first()["documents"]
+        return sum(r["documents"] for r in self._rows(lambda index: count(index, models, self.routing, where), models))

@@ -256,6 +256,42 @@ def test_index_and_client(spark, tmp_path):
     assert left.count() == 11 and left.where("doc_id = 'd4'").count() == 1
 
 
+def test_a_collection_that_fails_leaves_the_others(spark, tmp_path):
+    path = tmp_path / "index"
+    docs = [(f"c {k % 3}", "A", f"d{k}", f"number {k}", "1", "p") for k in range(12)]
+    df = spark.createDataFrame(docs, "collection string, model_name string, doc_id string, document string, schema_version string, partition_name string").withColumn("metadata", F.create_map(F.lit("k"), F.col("doc_id")))
+    append(spark, embed(df, HashingEmbedding(32)), str(path))
+    with search.Client(spark, str(path), None, HashingEmbedding(32)) as client:
+        whole = client.query(["number 4"], n_results=12)
+        assert len(whole["ids"][0]) == 12 and whole["ids"][0][0] == "d4" and client.count() == 12
+        broken = next(path.glob("collection=c 1/model_name=A/*.parquet"))
+        broken.write_bytes(b"broken" * 50)
+        (broken.parent / f".{broken.name}.crc").unlink(missing_ok=True)
+        left = client.query(["number 4"], n_results=12)
+        assert left["ids"][0] == [d for d in whole["ids"][0] if int(d[1:]) % 3 != 1] and left["distances"][0] == sorted(left["distances"][0])
+        for f in path.glob("*/*/*.parquet"):
+            f.write_bytes(b"broken" * 50)
+            (f.parent / f".{f.name}.crc").unlink(missing_ok=True)
+        with pytest.raises(Exception, match="."):
+            client.query(["number 4"])
+
+
+def test_a_deletion_that_was_cut_off(spark, tmp_path):
+    path = str(tmp_path / "index")
+    docs = [("c/1", "A b", f"d{k}", "x", "1", "p") for k in range(6)]
+    df = spark.createDataFrame(docs, "collection string, model_name string, doc_id string, document string, schema_version string, partition_name string").withColumn("metadata", F.create_map(F.lit("k"), F.col("doc_id")))
+    append(spark, embed(df, HashingEmbedding(8)), path)
+    directory = next((tmp_path / "index").glob("*/*"))
+    aside = tmp_path / "index" / "_old-1" / directory.parent.name
+    aside.mkdir(parents=True)
+    directory.rename(aside / directory.name)  # moved aside, and nothing has taken its place
+    assert open_index(spark, path) is None
+    assert delete(spark, path, {"doc_id": "d3"}) == 1
+    left = open_index(spark, path)
+    assert {r.doc_id for r in left.collect()} == {"d0", "d1", "d2", "d4", "d5"} and left.first().collection == "c/1"
+    assert not [p.name for p in (tmp_path / "index").iterdir() if p.name.startswith("_")]
+
+
 def test_stream_appends_only_new_digests(spark, tmp_path):
     source, target, checkpoint = (str(tmp_path / x) for x in ("in", "out", "ck"))
     first = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b")], "k int, v string")
