@@ -39,9 +39,12 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from .bloom import build_filter, may_hold
 from .common import join_groups, materialize
+from .tokens import forget
 
 #: Words that a repeated run needs.
 MIN_WORDS = 50
+#: Rows in a range that is sorted, about, and ranges at most.
+RANGE_ROWS, MOST_RANGES = 50_000, 20_000
 
 _LEAST_ID = -(1 << 63)
 _SUFFIX = ["d", "h", "pos"]
@@ -78,6 +81,7 @@ def _sequence(min_words: int):
     names = ["d", "h", "pos", "id", "ahead", "behind"]
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         out: list[list] = [[] for _ in types]
         for batch in batches:
             for d, h, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -125,17 +129,26 @@ _SCANNED = "g long, r2 long, td long, th long, tpos int, c long, d long, h long,
 _CARRIED = "part int, offset long, start long, has0 boolean, cr2 long, cd long, ch long, cpos int"
 
 
-def _placed(pairs: DataFrame) -> DataFrame:
-    """Pairs (g, r2, ...) of ``c`` suffixes, in order: ``place`` counts the suffixes of earlier pairs with the same g; the pair before comes along if g is the same."""
+def _ranges(rows: int) -> int:
+    return min(MOST_RANGES, rows // RANGE_ROWS + 1)
+
+
+def _placed(pairs: DataFrame, most: int) -> tuple[DataFrame, int, int]:
+    """Pairs (g, r2, ...) of ``c`` suffixes, ``most`` at most, in order: ``place`` counts the suffixes of earlier pairs with the same g; the pair before comes along if g is the same.
+
+    Also how many pairs have several suffixes, and how many come after a pair with the same g whose suffixes go on.
+    """
     spark, order = pairs.sparkSession, ["g", "r2", "td", "th", "tpos"]
-    ranged = pairs.repartitionByRange(*order).sortWithinPartitions(*order).select(*_PAIR)
+    ranged = pairs.repartitionByRange(_ranges(most), *order).sortWithinPartitions(*order).select(*_PAIR)
     scanned = materialize(ranged.mapInArrow(_scan, _SCANNED), "scanned").df
-    ends = scanned.groupBy("part").agg(F.sum("c").alias("n"), F.min("g").alias("first"), F.max(F.struct("at", "g", "from", *_BEFORE)).alias("last")).orderBy("part").collect()
+    ends = scanned.groupBy("part").agg(F.sum("c").alias("n"), F.min("g").alias("first"), F.max(F.struct("at", "g", "from", *_BEFORE)).alias("last"), F.count_if(F.col("c") > 1).alias("shared"), F.count_if(F.col("has") & (F.col("br2") >= 0)).alias("open")).orderBy("part").collect()
     offset, start, last, carried = 0, 0, None, []
+    n_shared = n_open = 0
     for e in ends:  # one row a partition
         goes_on = last is not None and last["g"] == e["first"]
         start = start if goes_on else offset
         carried.append((e["part"], offset, start, goes_on, *((last[n] if goes_on else -1) for n in _BEFORE)))
+        n_shared, n_open = n_shared + e["shared"], n_open + e["open"] + (goes_on and last["r2"] >= 0)
         last = e["last"]
         start = start if last["from"] < 0 else offset + last["from"]
         offset += e["n"]
@@ -143,7 +156,7 @@ def _placed(pairs: DataFrame) -> DataFrame:
     is_first = F.col("at") == 0
     place = F.col("offset") + F.col("at") - F.when(F.col("from") < 0, F.col("start")).otherwise(F.col("offset") + F.col("from"))
     before = [F.when(is_first, F.col(f"c{n}")).otherwise(F.col(f"b{n}")).alias(f"b{n}") for n in _BEFORE]
-    return joined.select(*_PAIR, place.alias("place"), F.when(is_first, F.col("has0")).otherwise(F.col("has")).alias("has"), *before)
+    return joined.select(*_PAIR, place.alias("place"), F.when(is_first, F.col("has0")).otherwise(F.col("has")).alias("has"), *before), n_shared, n_open
 
 
 def _pairs(rows: DataFrame, g: Column, r2: Column, ended: Column) -> DataFrame:
@@ -165,7 +178,7 @@ def suffix_array(lines: DataFrame, depth: int | None = None) -> tuple[DataFrame,
     seven = lambda k: F.conv(F.hex(F.substring("id", k, 7)), 16, 10).cast("long")
     rest = (seven(8), F.conv(F.hex(F.substring("id", 15, 2)), 16, 10).cast("int"))
     numbered = ids.select("id", F.lit(0).cast("long").alias("g"), seven(1).alias("r2"), rest[0].alias("td"), F.lit(0).cast("long").alias("th"), rest[1].alias("tpos"), "c", F.lit(0).cast("long").alias("d"), F.lit(0).cast("long").alias("h"), F.lit(0).alias("pos"))
-    first = _placed(numbered.drop("id"))
+    first, n_active, _ = _placed(numbered.drop("id"), total)
     named = materialize(numbered.select("id", "r2", "td", "tpos", "c").join(first.select("r2", "td", "tpos", F.col("place").alias("r")), ["r2", "td", "tpos"]).select("id", "c", "r"), "ids")
     now = materialize(join_groups(lines.select(*_SUFFIX, "id"), named.df, ["id"], "c", total).select(*_SUFFIX, "r", "c"), "ranks")
     bounds = [named.df.select("r", F.lit(0).alias("lcp"))]
@@ -173,18 +186,19 @@ def suffix_array(lines: DataFrame, depth: int | None = None) -> tuple[DataFrame,
     done: DataFrame | None = now.df.where("c = 1").select(*_SUFFIX, "r")
     active = now.df.where("c > 1").select(*_SUFFIX, "r")
     levels, splits, k = [], [], 0
-    while (depth is None or 1 << k < depth) and not active.isEmpty():
+    while (depth is None or 1 << k < depth) and n_active:
         ranks = done.unionByName(active)
         levels.append(ranks)
         tails = ranks.select("d", "h", (F.col("pos") - (1 << k)).alias("pos"), F.col("r").alias("r2"))
         pairs = materialize(active.join(tails, _SUFFIX, "left").select(*_SUFFIX, F.col("r").alias("r1"), F.coalesce("r2", F.lit(-1).cast("long")).alias("r2")), "pairs")
-        groups = materialize(_placed(_pairs(pairs.df, F.col("r1"), F.col("r2"), F.col("r2") < 0)).withColumn("r", F.col("g") + F.col("place")), "groups").df
+        groups, n_active, n_open = _placed(_pairs(pairs.df, F.col("r1"), F.col("r2"), F.col("r2") < 0), total)
+        groups = groups.withColumn("r", F.col("g") + F.col("place"))
         split = groups.where("has").select("r", F.lit(1 << k).alias("lcp"), (F.col("br2") >= 0).alias("open"), F.col("bd").alias("d1"), F.col("bh").alias("h1"), (F.col("bpos") + (1 << k)).alias("pos1"), F.col("d").alias("d2"), F.col("h").alias("h2"), (F.col("pos") + (1 << k)).alias("pos2"))
         bounds.append(split.where("NOT open").select("r", "lcp"))
-        splits.append(split.where("open").drop("open"))
+        splits.append(split.where("open").drop("open") if n_open else None)
         done = done.unionByName(groups.where("c = 1").select(*_SUFFIX, "r"))
         shared = groups.where("c > 1").select(F.col("g").alias("r1"), "r2", "r", "c")
-        active = materialize(join_groups(pairs.df, shared, ["r1", "r2"], "c", total).select(*_SUFFIX, "r"), "active").df
+        active = materialize(join_groups(pairs.df, shared, ["r1", "r2"], "c", total).select(*_SUFFIX, "r"), "active").df if n_active else active.limit(0)
         pairs.drop()
         k += 1
     # What tails share: fewer lines than 2^k, by halving.
@@ -192,14 +206,14 @@ def suffix_array(lines: DataFrame, depth: int | None = None) -> tuple[DataFrame,
     for j in range(k - 1, -1, -1):
         opened = splits[j + 1] if j + 1 < k else None
         now_open = opened if now_open is None else now_open if opened is None else now_open.unionByName(opened)
-        if now_open is None or now_open.isEmpty():
+        if now_open is None:
             continue
         left, right = (levels[j].select(F.col("d").alias(f"d{i}"), F.col("h").alias(f"h{i}"), F.col("pos").alias(f"pos{i}"), F.col("r").alias(f"r{i}")) for i in (1, 2))
         both = now_open.join(left, ["d1", "h1", "pos1"], "left").join(right, ["d2", "h2", "pos2"], "left")
         more = F.when(F.col("r1") == F.col("r2"), 1 << j).otherwise(0)
         now_open = materialize(both.select("r", (F.col("lcp") + more).alias("lcp"), "d1", "h1", (F.col("pos1") + more).alias("pos1"), "d2", "h2", (F.col("pos2") + more).alias("pos2")), "open").df
     out = bounds[0]
-    for more in [*bounds[1:], *([now_open.select("r", "lcp")] if now_open is not None else []), *(splits[:1])]:
+    for more in [*bounds[1:], *([now_open.select("r", "lcp")] if now_open is not None else []), *(x for x in splits[:1] if x is not None)]:
         out = out.unionByName(more.select("r", "lcp"))
     return done.unionByName(active), out
 
@@ -225,11 +239,11 @@ def _beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield batch_of([(part, r, 2, n, -1) for n, r in zip(stack, places, strict=True)])
 
 
-def interval_beginnings(bounds: DataFrame, questions: DataFrame, longest: int) -> DataFrame:
+def interval_beginnings(bounds: DataFrame, questions: DataFrame, longest: int, most: int) -> DataFrame:
     """(r, n) of ``questions`` with ``begin``, the first place of the interval of suffixes that share n lines with the one at r."""
     spark = bounds.sparkSession
     rows = bounds.select("r", F.lit(0).alias("kind"), F.col("lcp").alias("n")).unionByName(questions.select("r", F.lit(1).alias("kind"), "n"))
-    found = materialize(rows.repartitionByRange("r", "kind", "n").sortWithinPartitions("r", "kind", "n").mapInArrow(_beginnings, "part int, r long, kind int, n int, begin long"), "begins").df
+    found = materialize(rows.repartitionByRange(_ranges(most), "r", "kind", "n").sortWithinPartitions("r", "kind", "n").mapInArrow(_beginnings, "part int, r long, kind int, n int, begin long"), "begins").df
     ends: dict[int, list] = {}
     for e in found.where("kind = 2").orderBy("part", "n").collect():  # as many rows a partition as lines of a run
         ends.setdefault(e["part"], []).append((e["n"], e["r"]))
@@ -261,7 +275,7 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     ranks, bounds = suffix_array(kept.df, longest)
     named = materialize(runs.join(ranks.withColumnRenamed("pos", "first"), ["d", "h", "first"]), "named")
     questions = materialize(named.df.groupBy("r", "n").agg(F.min(F.struct("d", "h", "first")).alias("origin"), F.count(F.lit(1)).alias("size")), "questions")
-    begins = materialize(interval_beginnings(bounds, questions.df, longest), "begins")
+    begins = materialize(interval_beginnings(bounds, questions.df, longest, 2 * total), "begins")
     of = begins.df.join(questions.df, ["r", "n"])
     intervals = materialize(of.groupBy("begin", "n").agg(F.min("origin").alias("origin"), F.sum("size").alias("all"), F.count(F.lit(1)).alias("pairs")).where("all > 1"), "intervals")
     # From intervals to their (r, n), and to the runs.

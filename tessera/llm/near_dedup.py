@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from .bloom import build_filter, may_hold
 from .common import join_groups, materialize
 from .components import connected_components
+from .tokens import forget
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bands and rows: a pair of similarity 0.8 is missed with a probability of 5e-4, one of 0.85 with 7e-6; one of 0.5 is compared with one of 0.32.
@@ -147,6 +148,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
     for some in _texts(batches):
         out: list[list] = [[], [], [], []]
         for doc_id, text in some:

@@ -202,6 +202,11 @@ class Encoder:
 _ENCODER: dict[tuple, Encoder] = {}
 
 
+def forget() -> None:
+    """Give back what this worker's encoder remembers, where other work begins."""
+    _ENCODER.clear()
+
+
 def encoder(path: str, dtype: str = "<u4", memo_chunks: int = MEMO_CHUNKS) -> Encoder:
     """This worker's encoder: it and what it remembers outlive a task; another file's is forgotten."""
     if (path, dtype, memo_chunks) not in _ENCODER:

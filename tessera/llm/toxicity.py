@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .tokens import forget
+
 #: Labelled documents to fit on, candidates for the lexicon, and entries of the lexicon, at most.
 FIT_DOCS, CANDIDATES, ENTRIES = 20_000, 50_000, 2_000
 #: Toxic documents that an entry needs, and the least log-odds, one standard error below the estimate.
@@ -160,6 +162,7 @@ def choose(counts: dict[str, tuple[int, int]], toxic: int, other: int) -> dict[s
 
 
 def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    forget()
     for batch in batches:
         yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
@@ -239,6 +242,7 @@ def score_rows(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         model = shared.value
         matcher = model.matcher()
         for batch in batches:
