@@ -141,10 +141,10 @@ def _placed(pairs: DataFrame, most: int) -> tuple[DataFrame, int, int]:
     spark, order = pairs.sparkSession, ["g", "r2", "td", "th", "tpos"]
     ranged = pairs.repartitionByRange(_ranges(most), *order).sortWithinPartitions(*order).select(*_PAIR)
     scanned = materialize(ranged.mapInArrow(_scan, _SCANNED), "scanned").df
-    ends = scanned.groupBy("part").agg(F.sum("c").alias("n"), F.min("g").alias("first"), F.max(F.struct("at", "g", "from", *_BEFORE)).alias("last"), F.count_if(F.col("c") > 1).alias("shared"), F.count_if(F.col("has") & (F.col("br2") >= 0)).alias("open")).orderBy("part").collect()
+    ends = scanned.groupBy("part").agg(F.sum("c").alias("n"), F.min("g").alias("first"), F.max(F.struct("at", "g", "from", *_BEFORE)).alias("last"), F.count_if(F.col("c") > 1).alias("shared"), F.count_if(F.col("has") & (F.col("br2") >= 0)).alias("open")).collect()
     offset, start, last, carried = 0, 0, None, []
     n_shared = n_open = 0
-    for e in ends:  # one row a partition
+    for e in sorted(ends, key=lambda e: e["part"]):  # one row a partition
         goes_on = last is not None and last["g"] == e["first"]
         start = start if goes_on else offset
         carried.append((e["part"], offset, start, goes_on, *((last[n] if goes_on else -1) for n in _BEFORE)))
@@ -166,13 +166,12 @@ def _pairs(rows: DataFrame, g: Column, r2: Column, ended: Column) -> DataFrame:
     return keyed.groupBy("g", "r2", "td", "th", "tpos").agg(F.count(F.lit(1)).alias("c"), F.min("s").alias("s")).select("g", "r2", "td", "th", "tpos", "c", "s.*")
 
 
-def suffix_array(lines: DataFrame, depth: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """``lines(d, h, pos, id)``, of which each id occurs more than once, to the suffix array and its longest common prefixes.
+def suffix_array(lines: DataFrame, total: int, depth: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """``total`` rows of ``lines(d, h, pos, id)``, of which each id occurs more than once, to the suffix array and its longest common prefixes.
 
     The first frame has (d, h, pos, r): r is the place of the suffix that begins there. The second has (r, lcp): the lines that
     the suffix at r shares with the one before it. With a ``depth``, suffixes that share that many lines may have one place, that of the first.
     """
-    total = lines.count()
     ids = lines.groupBy("id").agg(F.count(F.lit(1)).alias("c"))
     # Ids are ordered by their bytes, seven at a time.
     seven = lambda k: F.conv(F.hex(F.substring("id", k, 7)), 16, 10).cast("long")
@@ -180,25 +179,26 @@ def suffix_array(lines: DataFrame, depth: int | None = None) -> tuple[DataFrame,
     numbered = ids.select("id", F.lit(0).cast("long").alias("g"), seven(1).alias("r2"), rest[0].alias("td"), F.lit(0).cast("long").alias("th"), rest[1].alias("tpos"), "c", F.lit(0).cast("long").alias("d"), F.lit(0).cast("long").alias("h"), F.lit(0).alias("pos"))
     first, n_active, _ = _placed(numbered.drop("id"), total)
     named = materialize(numbered.select("id", "r2", "td", "tpos", "c").join(first.select("r2", "td", "tpos", F.col("place").alias("r")), ["r2", "td", "tpos"]).select("id", "c", "r"), "ids")
-    now = materialize(join_groups(lines.select(*_SUFFIX, "id"), named.df, ["id"], "c", total).select(*_SUFFIX, "r", "c"), "ranks")
+    # One table a round: each suffix's rank, and how many share it.
+    level = materialize(join_groups(lines.select(*_SUFFIX, "id"), named.df, ["id"], "c", total).select(*_SUFFIX, "r", "c"), "ranks")
     bounds = [named.df.select("r", F.lit(0).alias("lcp"))]
-    # Ranks of all suffixes after each round, and what tells neighbours apart first in it.
-    done: DataFrame | None = now.df.where("c = 1").select(*_SUFFIX, "r")
-    active = now.df.where("c > 1").select(*_SUFFIX, "r")
     levels, splits, k = [], [], 0
     while (depth is None or 1 << k < depth) and n_active:
-        ranks = done.unionByName(active)
-        levels.append(ranks)
-        tails = ranks.select("d", "h", (F.col("pos") - (1 << k)).alias("pos"), F.col("r").alias("r2"))
-        pairs = materialize(active.join(tails, _SUFFIX, "left").select(*_SUFFIX, F.col("r").alias("r1"), F.coalesce("r2", F.lit(-1).cast("long")).alias("r2")), "pairs")
+        levels.append(level)
+        tails = level.df.select("d", "h", (F.col("pos") - (1 << k)).alias("pos"), F.col("r").alias("r2"))
+        active = level.df.where("c > 1").select(*_SUFFIX, F.col("r").alias("r1"))
+        pairs = materialize(active.join(tails, _SUFFIX, "left").withColumn("r2", F.coalesce("r2", F.lit(-1).cast("long"))), "pairs")
         groups, n_active, n_open = _placed(_pairs(pairs.df, F.col("r1"), F.col("r2"), F.col("r2") < 0), total)
         groups = groups.withColumn("r", F.col("g") + F.col("place"))
         split = groups.where("has").select("r", F.lit(1 << k).alias("lcp"), (F.col("br2") >= 0).alias("open"), F.col("bd").alias("d1"), F.col("bh").alias("h1"), (F.col("bpos") + (1 << k)).alias("pos1"), F.col("d").alias("d2"), F.col("h").alias("h2"), (F.col("pos") + (1 << k)).alias("pos2"))
         bounds.append(split.where("NOT open").select("r", "lcp"))
         splits.append(split.where("open").drop("open") if n_open else None)
-        done = done.unionByName(groups.where("c = 1").select(*_SUFFIX, "r"))
-        shared = groups.where("c > 1").select(F.col("g").alias("r1"), "r2", "r", "c")
-        active = materialize(join_groups(pairs.df, shared, ["r1", "r2"], "c", total).select(*_SUFFIX, "r"), "active").df if n_active else active.limit(0)
+        columns = [*_SUFFIX, "r", "c"]
+        after = level.df.where("c = 1").unionByName(groups.where("c = 1").select(columns))
+        if n_active:
+            shared = groups.where("c > 1").select(F.col("g").alias("r1"), "r2", "r", "c")
+            after = after.unionByName(join_groups(pairs.df, shared, ["r1", "r2"], "c", total).select(columns))
+        level = materialize(after, "ranks")
         pairs.drop()
         k += 1
     # What tails share: fewer lines than 2^k, by halving.
@@ -208,14 +208,16 @@ def suffix_array(lines: DataFrame, depth: int | None = None) -> tuple[DataFrame,
         now_open = opened if now_open is None else now_open if opened is None else now_open.unionByName(opened)
         if now_open is None:
             continue
-        left, right = (levels[j].select(F.col("d").alias(f"d{i}"), F.col("h").alias(f"h{i}"), F.col("pos").alias(f"pos{i}"), F.col("r").alias(f"r{i}")) for i in (1, 2))
+        left, right = (levels[j].df.select(F.col("d").alias(f"d{i}"), F.col("h").alias(f"h{i}"), F.col("pos").alias(f"pos{i}"), F.col("r").alias(f"r{i}")) for i in (1, 2))
         both = now_open.join(left, ["d1", "h1", "pos1"], "left").join(right, ["d2", "h2", "pos2"], "left")
         more = F.when(F.col("r1") == F.col("r2"), 1 << j).otherwise(0)
         now_open = materialize(both.select("r", (F.col("lcp") + more).alias("lcp"), "d1", "h1", (F.col("pos1") + more).alias("pos1"), "d2", "h2", (F.col("pos2") + more).alias("pos2")), "open").df
     out = bounds[0]
     for more in [*bounds[1:], *([now_open.select("r", "lcp")] if now_open is not None else []), *(x for x in splits[:1] if x is not None)]:
         out = out.unionByName(more.select("r", "lcp"))
-    return done.unionByName(active), out
+    for before in levels:
+        before.drop()
+    return level.df.select(*_SUFFIX, "r"), out
 
 
 def _beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,16 +246,14 @@ def interval_beginnings(bounds: DataFrame, questions: DataFrame, longest: int, m
     spark = bounds.sparkSession
     rows = bounds.select("r", F.lit(0).alias("kind"), F.col("lcp").alias("n")).unionByName(questions.select("r", F.lit(1).alias("kind"), "n"))
     found = materialize(rows.repartitionByRange(_ranges(most), "r", "kind", "n").sortWithinPartitions("r", "kind", "n").mapInArrow(_beginnings, "part int, r long, kind int, n int, begin long"), "begins").df
-    ends: dict[int, list] = {}
-    for e in found.where("kind = 2").orderBy("part", "n").collect():  # as many rows a partition as lines of a run
-        ends.setdefault(e["part"], []).append((e["n"], e["r"]))
-    parts = [r["part"] for r in found.select("part").distinct().collect()]
+    handed = found.groupBy("part").agg(F.collect_list(F.when(F.col("kind") == 2, F.struct("n", "r"))).alias("stack")).collect()  # a partition has as many entries as a run lines
+    ends = {e["part"]: sorted((x["n"], x["r"]) for x in e["stack"]) for e in handed}
     stack, carried = [], [(-1, 0, 0)]
-    for part in sorted(parts):
+    for part in sorted(ends):
         for n in range(1, longest + 1):
             if (at := bisect_left(stack, n, key=lambda x: x[0])) > 0:
                 carried.append((part, n, stack[at - 1][1]))
-        if part in ends:
+        if ends[part]:
             stack = [x for x in stack if x[0] < ends[part][0][0]] + ends[part]
     carry = F.broadcast(spark.createDataFrame(carried, "part int, n int, handed long"))
     return found.where("kind = 1").join(carry, ["part", "n"], "left").select("r", "n", F.when(F.col("begin") >= 0, F.col("begin")).otherwise(F.col("handed")).alias("begin"))
@@ -268,11 +268,11 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     kept = materialize(join_groups(lines.df, repeated.df, ["id"], "size", lines.df.count()).drop("size").dropDuplicates(_SUFFIX), "kept")
     lines.drop()
     repeated.drop()
-    total = kept.df.count()
-    longest = kept.df.agg(F.max(F.greatest("ahead", "behind")).alias("n")).first()["n"] or 0
+    about = kept.df.agg(F.count(F.lit(1)).alias("rows"), F.max(F.greatest("ahead", "behind")).alias("longest")).first()
+    total, longest = about["rows"], about["longest"] or 0
     runs = kept.df.select("d", "h", F.col("pos").alias("first"), F.col("ahead").alias("n")).where("n IS NOT NULL")
     runs = runs.unionByName(kept.df.where("behind IS NOT NULL").select("d", "h", (F.col("pos") - F.col("behind") + 1).alias("first"), F.col("behind").alias("n"))).distinct()
-    ranks, bounds = suffix_array(kept.df, longest)
+    ranks, bounds = suffix_array(kept.df, total, longest)
     named = materialize(runs.join(ranks.withColumnRenamed("pos", "first"), ["d", "h", "first"]), "named")
     questions = materialize(named.df.groupBy("r", "n").agg(F.min(F.struct("d", "h", "first")).alias("origin"), F.count(F.lit(1)).alias("size")), "questions")
     begins = materialize(interval_beginnings(bounds, questions.df, longest, 2 * total), "begins")

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import encoder
+from .tokens import MEMO_CHUNKS, encoder
 
 #: Rests that wait together for a window, and how many of them wait on for the next pool.
 POOL, CARRY = 8192, 1024
@@ -125,15 +125,15 @@ class Packer:
             yield pieces
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, window: int = 4096, pool: int = POOL) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, window: int = 4096, pool: int = POOL, remembered: int = MEMO_CHUNKS) -> DataFrame:
     """``docs(doc_id, text)`` to pieces of sequences of at most ``window`` ids.
 
-    Returns doc_id, start, length, ids (binary, little-endian u4), doc_tokens,
+    ``remembered`` chunks of text keep their ids in a worker's memory. Returns doc_id, start, length, ids (binary, little-endian u4), doc_tokens,
     sequence_id, offset: one row a piece, each id of each document in exactly one.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_many, packer = encoder(tokenizer).encode_many, Packer(window)
+        encode_many, packer = encoder(tokenizer, memo_chunks=remembered).encode_many, Packer(window)
         end, sequence = end_id.to_bytes(4, "little"), TaskContext.get().partitionId() << 40
         out: list[list] = [[] for _ in range(7)]
 

@@ -250,7 +250,7 @@ def test_suffix_array(spark, depth):
     place = {}
     for k, s in enumerate(ordered):
         place[s] = place[ordered[k - 1]] if k and suffixes[s] == suffixes[ordered[k - 1]] else k
-    ranks, bounds = suffix_array(lines, depth)
+    ranks, bounds = suffix_array(lines, len(rows), depth)
     got = {(r.d, r.pos): r.r for r in ranks.collect()}
     assert got == place and (depth or sorted(got.values()) == list(range(len(got))))
     assert {r.r: r.lcp for r in bounds.collect()} == {k: common(suffixes[ordered[k - 1]], suffixes[s]) if k else 0 for k, s in enumerate(ordered) if place[s] == k}
