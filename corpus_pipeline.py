@@ -18,6 +18,8 @@ from tessera.llm.tokens import tokenizer_path
 from tessera.llm.toxicity import THRESHOLD, fit_held_in, score_rows
 
 
+#: Chunks of text whose ids a worker remembers: fewer than by default, as executors have come through three stages.
+REMEMBERED = 200_000
 #: Documents in an Arrow batch. A stage's result is written by whoever called it, and Spark's 10,000 documents at once would take much of an executor's memory.
 BATCH_ROWS = 1000
 
@@ -54,7 +56,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences, with their ids."""
     _small_batches(spark)
-    return pack_documents(docs, tokenizer_path(WORD_BPE), END_ID)
+    return pack_documents(docs, tokenizer_path(WORD_BPE), END_ID, remembered=REMEMBERED)
 
 
 STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("packing", packing)]
