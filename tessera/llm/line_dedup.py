@@ -29,12 +29,12 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from .bloom import build_filter, may_hold
@@ -129,6 +129,12 @@ _SCANNED = "g long, r2 long, td long, th long, tpos int, c long, d long, h long,
 _CARRIED = "part int, offset long, start long, has0 boolean, cr2 long, cd long, ch long, cpos int"
 
 
+def _small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows of the driver as a frame, through Arrow: else Spark would start further Python workers to read them."""
+    fields = to_arrow_schema(StructType.fromDDL(schema))
+    return spark.createDataFrame(pa.table([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(fields)], schema=fields))
+
+
 def _ranges(rows: int) -> int:
     return min(MOST_RANGES, rows // RANGE_ROWS + 1)
 
@@ -152,7 +158,7 @@ def _placed(pairs: DataFrame, most: int) -> tuple[DataFrame, int, int]:
         last = e["last"]
         start = start if last["from"] < 0 else offset + last["from"]
         offset += e["n"]
-    joined = scanned.join(F.broadcast(spark.createDataFrame(carried, _CARRIED)), "part")
+    joined = scanned.join(F.broadcast(_small_table(spark, carried, _CARRIED)), "part")
     is_first = F.col("at") == 0
     place = F.col("offset") + F.col("at") - F.when(F.col("from") < 0, F.col("start")).otherwise(F.col("offset") + F.col("from"))
     before = [F.when(is_first, F.col(f"c{n}")).otherwise(F.col(f"b{n}")).alias(f"b{n}") for n in _BEFORE]
@@ -172,22 +178,23 @@ def suffix_array(lines: DataFrame, total: int, depth: int | None = None) -> tupl
     The first frame has (d, h, pos, r): r is the place of the suffix that begins there. The second has (r, lcp): the lines that
     the suffix at r shares with the one before it. With a ``depth``, suffixes that share that many lines may have one place, that of the first.
     """
+    few = _ranges(total)  # tasks that write a table of the rounds, whose rows are short
     ids = lines.groupBy("id").agg(F.count(F.lit(1)).alias("c"))
     # Ids are ordered by their bytes, seven at a time.
     seven = lambda k: F.conv(F.hex(F.substring("id", k, 7)), 16, 10).cast("long")
     rest = (seven(8), F.conv(F.hex(F.substring("id", 15, 2)), 16, 10).cast("int"))
     numbered = ids.select("id", F.lit(0).cast("long").alias("g"), seven(1).alias("r2"), rest[0].alias("td"), F.lit(0).cast("long").alias("th"), rest[1].alias("tpos"), "c", F.lit(0).cast("long").alias("d"), F.lit(0).cast("long").alias("h"), F.lit(0).alias("pos"))
     first, n_active, _ = _placed(numbered.drop("id"), total)
-    named = materialize(numbered.select("id", "r2", "td", "tpos", "c").join(first.select("r2", "td", "tpos", F.col("place").alias("r")), ["r2", "td", "tpos"]).select("id", "c", "r"), "ids")
+    named = materialize(numbered.select("id", "r2", "td", "tpos", "c").join(first.select("r2", "td", "tpos", F.col("place").alias("r")), ["r2", "td", "tpos"]).select("id", "c", "r").coalesce(few), "ids")
     # One table a round: each suffix's rank, and how many share it.
-    level = materialize(join_groups(lines.select(*_SUFFIX, "id"), named.df, ["id"], "c", total).select(*_SUFFIX, "r", "c"), "ranks")
+    level = materialize(join_groups(lines.select(*_SUFFIX, "id"), named.df, ["id"], "c", total).select(*_SUFFIX, "r", "c").coalesce(few), "ranks")
     bounds = [named.df.select("r", F.lit(0).alias("lcp"))]
     levels, splits, k = [], [], 0
     while (depth is None or 1 << k < depth) and n_active:
         levels.append(level)
         tails = level.df.select("d", "h", (F.col("pos") - (1 << k)).alias("pos"), F.col("r").alias("r2"))
         active = level.df.where("c > 1").select(*_SUFFIX, F.col("r").alias("r1"))
-        pairs = materialize(active.join(tails, _SUFFIX, "left").withColumn("r2", F.coalesce("r2", F.lit(-1).cast("long"))), "pairs")
+        pairs = materialize(active.join(tails, _SUFFIX, "left").withColumn("r2", F.coalesce("r2", F.lit(-1).cast("long"))).coalesce(few), "pairs")
         groups, n_active, n_open = _placed(_pairs(pairs.df, F.col("r1"), F.col("r2"), F.col("r2") < 0), total)
         groups = groups.withColumn("r", F.col("g") + F.col("place"))
         split = groups.where("has").select("r", F.lit(1 << k).alias("lcp"), (F.col("br2") >= 0).alias("open"), F.col("bd").alias("d1"), F.col("bh").alias("h1"), (F.col("bpos") + (1 << k)).alias("pos1"), F.col("d").alias("d2"), F.col("h").alias("h2"), (F.col("pos") + (1 << k)).alias("pos2"))
@@ -198,7 +205,7 @@ def suffix_array(lines: DataFrame, total: int, depth: int | None = None) -> tupl
         if n_active:
             shared = groups.where("c > 1").select(F.col("g").alias("r1"), "r2", "r", "c")
             after = after.unionByName(join_groups(pairs.df, shared, ["r1", "r2"], "c", total).select(columns))
-        level = materialize(after, "ranks")
+        level = materialize(after.coalesce(few), "ranks")
         pairs.drop()
         k += 1
     # What tails share: fewer lines than 2^k, by halving.
@@ -211,7 +218,7 @@ def suffix_array(lines: DataFrame, total: int, depth: int | None = None) -> tupl
         left, right = (levels[j].df.select(F.col("d").alias(f"d{i}"), F.col("h").alias(f"h{i}"), F.col("pos").alias(f"pos{i}"), F.col("r").alias(f"r{i}")) for i in (1, 2))
         both = now_open.join(left, ["d1", "h1", "pos1"], "left").join(right, ["d2", "h2", "pos2"], "left")
         more = F.when(F.col("r1") == F.col("r2"), 1 << j).otherwise(0)
-        now_open = materialize(both.select("r", (F.col("lcp") + more).alias("lcp"), "d1", "h1", (F.col("pos1") + more).alias("pos1"), "d2", "h2", (F.col("pos2") + more).alias("pos2")), "open").df
+        now_open = materialize(both.select("r", (F.col("lcp") + more).alias("lcp"), "d1", "h1", (F.col("pos1") + more).alias("pos1"), "d2", "h2", (F.col("pos2") + more).alias("pos2")).coalesce(few), "open").df
     out = bounds[0]
     for more in [*bounds[1:], *([now_open.select("r", "lcp")] if now_open is not None else []), *(x for x in splits[:1] if x is not None)]:
         out = out.unionByName(more.select("r", "lcp"))
@@ -255,7 +262,7 @@ def interval_beginnings(bounds: DataFrame, questions: DataFrame, longest: int, m
                 carried.append((part, n, stack[at - 1][1]))
         if ends[part]:
             stack = [x for x in stack if x[0] < ends[part][0][0]] + ends[part]
-    carry = F.broadcast(spark.createDataFrame(carried, "part int, n int, handed long"))
+    carry = F.broadcast(_small_table(spark, carried, "part int, n int, handed long"))
     return found.where("kind = 1").join(carry, ["part", "n"], "left").select("r", "n", F.when(F.col("begin") >= 0, F.col("begin")).otherwise(F.col("handed")).alias("begin"))
 
 
@@ -273,18 +280,19 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     runs = kept.df.select("d", "h", F.col("pos").alias("first"), F.col("ahead").alias("n")).where("n IS NOT NULL")
     runs = runs.unionByName(kept.df.where("behind IS NOT NULL").select("d", "h", (F.col("pos") - F.col("behind") + 1).alias("first"), F.col("behind").alias("n"))).distinct()
     ranks, bounds = suffix_array(kept.df, total, longest)
-    named = materialize(runs.join(ranks.withColumnRenamed("pos", "first"), ["d", "h", "first"]), "named")
-    questions = materialize(named.df.groupBy("r", "n").agg(F.min(F.struct("d", "h", "first")).alias("origin"), F.count(F.lit(1)).alias("size")), "questions")
-    begins = materialize(interval_beginnings(bounds, questions.df, longest, 2 * total), "begins")
+    few = _ranges(total)
+    named = materialize(runs.join(ranks.withColumnRenamed("pos", "first"), ["d", "h", "first"]).coalesce(few), "named")
+    questions = materialize(named.df.groupBy("r", "n").agg(F.min(F.struct("d", "h", "first")).alias("origin"), F.count(F.lit(1)).alias("size")).coalesce(few), "questions")
+    begins = materialize(interval_beginnings(bounds, questions.df, longest, 2 * total).coalesce(few), "begins")
     of = begins.df.join(questions.df, ["r", "n"])
-    intervals = materialize(of.groupBy("begin", "n").agg(F.min("origin").alias("origin"), F.sum("size").alias("all"), F.count(F.lit(1)).alias("pairs")).where("all > 1"), "intervals")
+    intervals = materialize(of.groupBy("begin", "n").agg(F.min("origin").alias("origin"), F.sum("size").alias("all"), F.count(F.lit(1)).alias("pairs")).where("all > 1").coalesce(few), "intervals")
     # From intervals to their (r, n), and to the runs.
-    by_pair = materialize(join_groups(begins.df.join(questions.df.select("r", "n", "size"), ["r", "n"]), intervals.df, ["begin", "n"], "pairs", total).select("r", "n", "size", "origin"), "origins")
+    by_pair = materialize(join_groups(begins.df.join(questions.df.select("r", "n", "size"), ["r", "n"]), intervals.df, ["begin", "n"], "pairs", total).select("r", "n", "size", "origin").coalesce(few), "origins")
     copies = join_groups(named.df, by_pair.df, ["r", "n"], "size", total).where("origin <> struct(d, h, first)")
     same = (F.col("origin.d") == F.col("d")) & (F.col("origin.h") == F.col("h"))
     begin = F.when(same, F.greatest("first", F.col("origin.first") + F.col("n"))).otherwise(F.col("first"))
     copies = copies.select("d", "h", begin.alias("first"), (F.col("first") + F.col("n") - 1).alias("last")).where("first <= last").distinct()
-    out = materialize(copies, "copies")
+    out = materialize(copies.coalesce(few), "copies")
     for table in (kept, named, questions, begins, intervals, by_pair):
         table.drop()
     return out.df
@@ -309,14 +317,15 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     per_doc = materialize(copies.groupBy("d", "h").agg(F.collect_list(F.struct("first", "last")).alias("ranges")), "ranges").df
     loses = docs.sparkSession.sparkContext.broadcast(build_filter(per_doc.select(F.xxhash64("d", "h").alias("k")), per_doc.count(), least=1))
 
-    @F.pandas_udf("boolean")
-    def may_lose(k: pd.Series) -> pd.Series:
-        return pd.Series(may_hold(k.to_numpy(), loses.value))
+    @F.arrow_udf("boolean")
+    def may_lose(k: pa.Array) -> pa.Array:
+        return pa.array(may_hold(k.to_numpy(zero_copy_only=False), loses.value))
 
     # 0 and the hash of no text are as good as any for a null: the row itself is kept.
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST_ID)).alias("d"), F.xxhash64(F.col("text").cast("string")).alias("h"), F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"))
     tested = keyed.withColumn("may", may_lose(F.xxhash64("d", "h")))
-    joined = tested.where("may").drop("may").join(per_doc, ["d", "h"], "left").select("text", "ranges", "row")
+    # Always by a shuffle: the filter and the cut would else run in one task, each with a Python worker of its own.
+    joined = tested.where("may").drop("may").join(per_doc.hint("merge"), ["d", "h"], "left").select("text", "ranges", "row")
     row_type = docs.drop("text").schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
