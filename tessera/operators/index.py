@@ -195,22 +195,19 @@ def delete(spark: SparkSession, path: str, filters: Mapping[str, Any], apply: bo
         return 0
     hit = F.coalesce(matching(index, filters), F.lit(False))
     touched = index.where(hit).groupBy(*LAYOUT).agg(F.count(F.lit(1)).alias("n")).collect()  # one row a directory
-    if apply:
+    if apply and touched:
+        run = uuid.uuid4().hex
+        named = F.broadcast(index.where(hit).select(*LAYOUT).distinct())  # one row a directory
+        index.join(named, list(LAYOUT), "left_semi").where(~hit).repartition(*LAYOUT, F.pmod(F.xxhash64("doc_id"), F.lit(32))).write.partitionBy(*LAYOUT).parquet(f"{path}/_rewrite-{run}")
         for row in touched:
-            one = (F.col("collection") == row["collection"]) & (F.col("model_name") == row["model_name"])
-            directory, run = _directory(spark, row), uuid.uuid4().hex
-            kept = index.where(one & ~hit).drop(*LAYOUT)
-            empty = kept.isEmpty()
-            if not empty:
-                kept.write.parquet(f"{path}/_rewrite-{run}/{directory}")
+            directory = _directory(spark, row)
             _move(spark, f"{path}/{directory}", f"{path}/_old-{run}/{directory}")
-            if empty:
-                if not files.listing(spark, f"{path}/{directory}".rpartition("/")[0], directories=True):
-                    files.delete(spark, f"{path}/{directory}".rpartition("/")[0])
-            else:
+            if files.exists(spark, f"{path}/_rewrite-{run}/{directory}"):
                 _move(spark, f"{path}/_rewrite-{run}/{directory}", f"{path}/{directory}")
-                files.delete(spark, f"{path}/_rewrite-{run}")
-            files.delete(spark, f"{path}/_old-{run}")
+            elif not files.listing(spark, f"{path}/{directory}".rpartition("/")[0], directories=True):
+                files.delete(spark, f"{path}/{directory}".rpartition("/")[0])
+        files.delete(spark, f"{path}/_rewrite-{run}")
+        files.delete(spark, f"{path}/_old-{run}")
     return sum(r["n"] for r in touched)
 
 
